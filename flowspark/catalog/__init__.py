@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("feature_queries", "quality_queries")
+MODULES = (
+    "feature_queries",
+    "quality_queries",
+    "profile_queries",
+    "sampling_queries",
+    "detection_queries",
+)
 
 
 def _load():
