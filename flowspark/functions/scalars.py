@@ -96,15 +96,13 @@ def known_label(c, known=tuple(S.CLASS_BY_CODE.values()), fallback=S.NORMAL) ->
 
 
 def prediction_label(code, classes) -> Column:
-    """Label of a prediction code, with the special codes and out-of-range handled."""
-    code = _col(code)
-    special = F.when(code == S.UNKNOWN, S.CODE_LABELS[S.UNKNOWN])
-    for value in (S.NEEDS_REVIEW, S.DETECTION_FAILED):
-        special = special.when(code == value, S.CODE_LABELS[value])
-    names = F.array(*[F.lit(c) for c in classes])
-    return special.when(
-        code.between(0, len(classes) - 1), F.try_element_at(names, code.cast("int") + 1)
-    ).otherwise(S.CODE_LABELS[S.UNKNOWN])
+    """Label of a prediction code, with the special codes and out-of-range handled.
+
+    One map lookup, so that the code's expression is not repeated when Catalyst
+    moves a filter on the label below it.
+    """
+    names = {**S.CODE_LABELS, **dict(enumerate(classes))}
+    return F.coalesce(lookup(_col(code).cast("int"), names), F.lit(S.CODE_LABELS[S.UNKNOWN]))
 
 
 def label_from_filename(c, rules=S.FILENAME_KEYWORDS, unmatched="normal") -> Column:
