@@ -10,6 +10,7 @@ MODULES = (
     "profile_queries",
     "sampling_queries",
     "detection_queries",
+    "oversampling_queries",
 )
 
 
