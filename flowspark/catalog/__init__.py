@@ -11,6 +11,7 @@ MODULES = (
     "sampling_queries",
     "detection_queries",
     "oversampling_queries",
+    "model_queries",
 )
 
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINK_COLUMNS = ("flow_id", "anomaly_type")
-
 
 def packets_per_flow(lineitem: DataFrame) -> DataFrame:
     """One row per order key: counts, sizes and times of its packets."""
@@ -124,13 +122,17 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``scored`` table of a test-data folder."""
+    return scored_from(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def scored_from(orders: DataFrame) -> DataFrame:
     """Flows with a first-stage verdict and a second-stage class and probability.
 
     Only the key and the label of a flow matter here, so the packets are not read.
     """
     base = (
-        spark.read.parquet(f"{sf_dir}/orders.parquet")
-        .select(F.col("o_orderkey").alias("flow_id"))
+        orders.select(F.col("o_orderkey").alias("flow_id"))
         .withColumn("share", F.col("flow_id") % 100)
         .withColumn("g", F.floor(F.col("flow_id") / 100).cast("bigint"))
     )
@@ -155,9 +157,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probabilities_of(scored(spark, sf_dir))
+
+
+def probabilities_of(scores: DataFrame) -> DataFrame:
     """``scored`` with the probability array a classifier would give."""
     rest = (1 - F.col("top_prob")) / 4
-    return scored(spark, sf_dir).withColumn(
+    return scores.withColumn(
         "probabilities",
         F.array(*[F.when(F.col("top_class") == i, F.col("top_prob")).otherwise(rest) for i in range(5)]),
     )
