@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
@@ -31,21 +32,29 @@ def nan_to_null(c) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def _octets(c) -> tuple[Column, list[Column]]:
+    """(number of dot-separated parts, the first four as int, NULL where no int)."""
+    parts = F.split(_col(c), r"\.")
+    return F.size(parts), [F.get(parts, i).try_cast("int") for i in range(4)]
+
+
 def is_valid_ip(c) -> Column:
     """Four decimal parts in 0..255; NULL is NULL."""
-    parts = F.split(_col(c), "[.]")
-    octets_ok = F.forall(
-        parts, lambda p: p.rlike("^[0-9]+$") & F.coalesce(p.try_cast("int").between(0, 255), F.lit(False))
-    )
-    return (F.size(parts) == 4) & octets_ok
+    c = _col(c)
+    count, octets = _octets(c)
+    in_range = count == 4
+    for octet in octets:
+        in_range = in_range & F.coalesce(octet.between(0, 255), F.lit(False))
+    return F.when(c.isNotNull(), c.rlike(r"^[0-9]+(\.[0-9]+){3}$") & in_range)
 
 
 def ip_to_int(c) -> Column:
     """Dotted quad as one integer without a range check; anything else is 0."""
-    parts = F.split(_col(c), "[.]")
-    octets = F.transform(parts, lambda p: p.try_cast("bigint"))
-    value = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, x: acc * OCTET_SCALE + x)
-    return F.coalesce(F.when(F.size(parts) == 4, value), F.lit(0).cast("bigint"))
+    count, octets = _octets(c)
+    value = octets[0].cast("bigint")
+    for octet in octets[1:]:
+        value = value * OCTET_SCALE + octet
+    return F.coalesce(F.when(count == 4, value), F.lit(0).cast("bigint"))
 
 
 def protocol_code(c) -> Column:
@@ -69,11 +78,11 @@ def forward_share(forward, backward) -> Column:
 def bucket(c, bounds) -> Column:
     """Name of the right-closed bucket; zero, negative and missing give NULL."""
     c = _col(c)
-    first, *rest = bounds
-    expr = F.when((c > 0) & (c <= first[0]), first[1])
+    (upper, name), *rest = bounds
+    names = F.when(c <= upper, name)
     for upper, name in rest:
-        expr = expr.when((c > 0) & (c <= upper), name)
-    return expr
+        names = names.when(c <= upper, name)
+    return F.when(c > 0, names)
 
 
 def duration_bucket(c) -> Column:
@@ -106,16 +115,21 @@ def prediction_label(code, classes) -> Column:
 
 
 def label_from_filename(c, rules=S.FILENAME_KEYWORDS, unmatched="normal") -> Column:
-    """Label by the first keyword that a file name holds.
+    """Label by the first rule whose keyword, or all of whose keywords, a name holds.
 
     ``unmatched`` is the label of other names; ``'skip'`` leaves them NULL for the
     caller to drop.
     """
     name = F.lower(_col(c))
-    (keyword, label), *rest = rules
-    expr = F.when(name.contains(keyword.lower()), label)
-    for keyword, label in rest:
-        expr = expr.when(name.contains(keyword.lower()), label)
+
+    def holds(keywords) -> Column:
+        words = (keywords,) if isinstance(keywords, str) else keywords
+        return reduce(lambda a, b: a & b, [name.contains(w.lower()) for w in words])
+
+    (first, label), *rest = rules
+    expr = F.when(holds(first), label)
+    for keywords, label in rest:
+        expr = expr.when(holds(keywords), label)
     return expr if unmatched == "skip" else expr.otherwise(unmatched)
 
 
@@ -125,14 +139,21 @@ def binary_label(c) -> Column:
 
 
 def clip(c, low: float | None, high: float | None) -> Column:
-    """``c`` within the bounds; NULL stays NULL and a missing bound is open."""
+    """``c`` within the bounds; missing stays missing and a bound of None is open."""
     c = _col(c)
-    out = c
+    cases = []
     if low is not None:
-        out = F.greatest(out, F.lit(low))
+        cases.append((c < low, low))
     if high is not None:
-        out = F.least(out, F.lit(high))
-    return F.when(c.isNotNull(), out)
+        # NaN sorts above infinity
+        cases.append(((c > high) & (c <= float("inf")), high))
+    if not cases:
+        return c
+    (first, bound), *rest = cases
+    out = F.when(first, F.lit(bound))
+    for beyond, bound in rest:
+        out = out.when(beyond, F.lit(bound))
+    return out.otherwise(c)
 
 
 def error_type(truth, predicted) -> Column:

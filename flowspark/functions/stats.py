@@ -73,6 +73,11 @@ class _Interval:
             inside = inside & (c < F.lit(self.high))
         return F.when(inside, c)
 
+    def leaf_values(self) -> Column:
+        """Values at the ranks, from the sorted rows of a short range."""
+        ordered = F.sort_array(F.collect_list(self.value()))
+        return F.array(*[F.element_at(ordered, r - self.offset + 1) for r in self.ranks])
+
     def pivot_shares(self) -> list[float]:
         margin = 2 / PIVOT_ACCURACY
         shares = set()
@@ -118,15 +123,7 @@ def order_statistics(
         wide = [s for s in todo if s.rows > leaf_rows]
         todo = []
         if leaves:
-            row = df.agg(
-                *[
-                    F.transform(
-                        F.array(*[F.lit(r - s.offset + 1) for r in s.ranks]),
-                        lambda k, values=F.sort_array(F.collect_list(s.value())): F.element_at(values, k),
-                    ).alias(f"s{i}")
-                    for i, s in enumerate(leaves)
-                ]
-            ).first()
+            row = df.agg(*[s.leaf_values().alias(f"s{i}") for i, s in enumerate(leaves)]).first()
             for s, values in zip(leaves, row):
                 found.update({(s.column, r): v for r, v in zip(s.ranks, values)})
         if wide:

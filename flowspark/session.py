@@ -14,7 +14,8 @@ def get_spark(app_name: str = "flowspark", master: str | None = None, **conf: st
     """Session with the settings the library is tuned for.
 
     Shuffle width is left to AQE: it starts from ``spark.sql.shuffle.partitions``
-    and coalesces or splits partitions by their measured size.
+    and coalesces or splits partitions by their measured size. The JIT skips methods
+    over 8000 bytes of bytecode, so wide projections beyond it are better split up.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -23,6 +24,7 @@ def get_spark(app_name: str = "flowspark", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     for key, value in settings.items():
