@@ -58,12 +58,9 @@ class TreeSettings:
             seed=self.seed,
             maxBins=self.max_bins,
             maxMemoryInMB=self.memory_mb,
+            validationTol=self.validation_tolerance,
         )
-        if self.validation_column:
-            learner = learner.setValidationIndicatorCol(self.validation_column).setValidationTol(
-                self.validation_tolerance
-            )
-        return learner
+        return learner.setValidationIndicatorCol(self.validation_column) if self.validation_column else learner
 
 
 def class_list(df: DataFrame, target: str = S.TARGET) -> list[str]:
