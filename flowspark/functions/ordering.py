@@ -13,11 +13,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET_DIGITS = 4
 DRAW_DIGITS = 15
 MAX_STRATA = 10_000
-PAST_LAST_BUCKET = "g"  # sorts after every hex digit
+BEFORE_ALL, PAST_ALL = "", "g"  # sort before and after every digest
 
 
 def digest(seed: int, *parts) -> Column:
@@ -41,44 +42,44 @@ def unit_draw(seed: int, *parts) -> Column:
     return F.conv(F.substring(digest(seed, *parts), 1, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
 
 
-def with_order(df: DataFrame, key: str, seed: int, digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Add ``_digest`` and its ``_bucket`` prefix."""
-    return df.withColumn("_digest", digest(seed, key)).withColumn(
-        "_bucket", F.substring("_digest", 1, digits)
+def with_order(df: DataFrame, stratum: list[str], key: str, seed: int, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """Add ``_stratum``, ``_digest`` and its ``_bucket`` prefix.
+
+    The stratum is one struct, in which NULL equals NULL.
+    """
+    return df.withColumns(
+        {
+            "_stratum": F.struct(*[F.col(f"`{c}`") for c in stratum]) if stratum else F.struct(F.lit(0)),
+            "_digest": digest(seed, key),
+            "_bucket": F.substring(digest(seed, key), 1, digits),
+        }
     )
 
 
-def bucket_starts(ordered: DataFrame, stratum: list[str]) -> DataFrame:
+def bucket_starts(ordered: DataFrame) -> DataFrame:
     """Per stratum and bucket: rows in it, rows before it and the stratum's total.
 
     Bounded by strata x 16^digits rows, whatever the size of the table.
     """
-    histogram = ordered.groupBy(*stratum, "_bucket").agg(F.count("*").alias("_rows"))
-    whole = Window.partitionBy(*stratum)
+    histogram = ordered.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_rows"))
+    whole = Window.partitionBy("_stratum")
     return histogram.withColumn(
         "_start",
         F.sum("_rows").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows"),
     ).withColumn("_total", F.sum("_rows").over(whole))
 
 
-def _null_safe(left: list[str], right: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
-
-
 def with_rank(df: DataFrame, stratum: list[str], key: str, seed: int, digits: int = BUCKET_DIGITS) -> DataFrame:
     """Add ``rank`` (1-based, within the stratum) and ``stratum_rows``.
 
-    ``key`` must identify a row. The window and the join both work on
+    ``key`` must identify a row. The window and the join share one partitioning by
     (stratum, bucket), so a stratum with most of the rows is spread over all tasks.
     """
-    ordered = with_order(df, key, seed, digits)
-    names = stratum + ["_bucket"]
-    starts = bucket_starts(ordered, stratum).select(
-        *[F.col(n).alias(f"_at_{n}") for n in names], "_start", "_total"
-    )
-    inside = Window.partitionBy(*names).orderBy("_digest", key)
+    ordered = with_order(df, stratum, key, seed, digits)
+    starts = bucket_starts(ordered).drop("_rows")
+    inside = Window.partitionBy("_stratum", "_bucket").orderBy("_digest", key)
     ranked = ordered.withColumn("_inside", F.row_number().over(inside))
-    return ranked.join(starts, _null_safe(names, [f"_at_{n}" for n in names]), "inner").select(
+    return ranked.join(starts, ["_stratum", "_bucket"]).select(
         *df.columns,
         (F.col("_start") + F.col("_inside")).alias("rank"),
         F.col("_total").alias("stratum_rows"),
@@ -97,71 +98,101 @@ def with_part(
     """Add ``part``: how many of the cut ranks lie before the row in its stratum.
 
     Each cut maps the stratum's row count (and its columns) to a rank; part 0 holds
-    the rows up to the first cut, and so on. Sizes are exact.
+    the rows up to the first cut, and so on. Sizes are exact. ``key`` must identify
+    a row.
 
-    Up to ``max_strata`` strata the cuts are collected and broadcast, and only the
-    rows of the buckets that a cut goes through are shuffled. Beyond it every row is
-    ranked by ``with_rank``.
+    Up to ``max_strata`` strata, a histogram finds the bucket that each cut goes
+    through and a second narrow pass the row at the cut in that bucket; the result
+    then compares every row with its stratum's cut rows, without a shuffle. Beyond
+    it every row is ranked by ``with_rank``.
     """
-    ordered = with_order(df, key, seed, digits)
-    end = F.col("_start") + F.col("_rows")
-    starts = bucket_starts(ordered, stratum)
-    crossing = starts.groupBy(*stratum).agg(
-        *[
-            F.max(
-                F.when(
-                    (F.col("_start") < cut(F.col("_total"))) & (cut(F.col("_total")) <= end),
-                    F.struct("_bucket", "_start"),
-                )
-            ).alias(f"_cut{i}")
-            for i, cut in enumerate(cuts)
-        ],
-        F.max("_total").alias("_total"),
-    )
-    table = crossing.select(
-        *[F.col(c).alias(f"_at_{c}") for c in stratum],
+    slim = with_order(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*stratum, key])]), stratum, key, seed, digits)
+    starts = bucket_starts(slim)
+    if stratum:
+        starts = starts.select("*", *[F.col(f"_stratum.`{c}`").alias(c) for c in stratum])
+    total, end = F.col("_total"), F.col("_start") + F.col("_rows")
+    crossed = [(F.col("_start") < cut(total)) & (cut(total) <= end) & (cut(total) < total) for cut in cuts]
+    per_stratum = starts.groupBy("_stratum").agg(
         *[
-            column
-            for i, cut in enumerate(cuts)
-            for column in (
-                F.when(cut(F.col("_total")) >= F.col("_total"), F.lit(PAST_LAST_BUCKET))
-                .when(cut(F.col("_total")) <= 0, F.lit(""))
-                .otherwise(F.col(f"_cut{i}._bucket"))
-                .alias(f"_bucket{i}"),
-                (cut(F.col("_total")) - F.col(f"_cut{i}._start")).alias(f"_need{i}"),
-            )
-        ],
+            F.struct(
+                F.max(F.when(on, F.col("_bucket"))).alias("bucket"),
+                F.max(F.when(on, cut(total) - F.col("_start"))).alias("need"),
+                F.max(cut(total) <= 0).alias("none"),
+            ).alias(f"cut{i}")
+            for i, (cut, on) in enumerate(zip(cuts, crossed))
+        ]
     )
-    rows = table.limit(max_strata + 1).collect()
-    if len(rows) > max_strata:
+    found = per_stratum.limit(max_strata + 1).collect()
+    if len(found) > max_strata:
         ranked = with_rank(df, stratum, key, seed, digits)
         passed = [F.when(F.col("rank") > cut(F.col("stratum_rows")), 1).otherwise(0) for cut in cuts]
         return ranked.select(*df.columns, reduce(lambda a, b: a + b, passed).alias("part"))
-    if not rows:
+    if not found:
         return df.withColumn("part", F.lit(0))
-    if stratum:
-        small = df.sparkSession.createDataFrame(rows, table.schema)
-        placed = ordered.join(F.broadcast(small), _null_safe(stratum, [f"_at_{c}" for c in stratum]))
-    else:
-        placed = ordered.withColumns({c: F.lit(v) for c, v in rows[0].asDict().items()})
-    bucket_columns = [F.col(f"_bucket{i}") for i in range(len(cuts))]
-    on_cut = reduce(lambda a, b: a | b, [F.col("_bucket") == b for b in bucket_columns])
-
-    def part(passes) -> Column:
-        counted = [F.when(passes(i), 1).otherwise(0) for i in range(len(cuts))]
-        return reduce(lambda a, b: a + b, counted).alias("part")
-
-    clear = placed.filter(~on_cut).select(*df.columns, part(lambda i: F.col("_bucket") > bucket_columns[i]))
-    inside = Window.partitionBy(*stratum, "_bucket").orderBy("_digest", key)
-    crossed = (
-        placed.filter(on_cut)
-        .withColumn("_inside", F.row_number().over(inside))
-        .select(
-            *df.columns,
-            part(
-                lambda i: (F.col("_bucket") > bucket_columns[i])
-                | ((F.col("_bucket") == bucket_columns[i]) & (F.col("_inside") > F.col(f"_need{i}")))
-            ),
+    edges = _rows_at_cuts(slim, key, found, len(cuts))
+    return _compare_with_edges(df, stratum, key, seed, edges, len(cuts))
+
+
+def _rows_at_cuts(slim: DataFrame, key: str, found: list, cuts: int) -> DataFrame:
+    """One row per stratum with the (digest, key) of the last row before each cut."""
+    spark, types = slim.sparkSession, {f.name: f.dataType for f in slim.schema.fields}
+    wanted: dict = {}
+    for row in found:
+        for i in range(cuts):
+            cut = row[f"cut{i}"]
+            if cut["bucket"] is not None:
+                wanted.setdefault((row["_stratum"], cut["bucket"]), set()).add(cut["need"])
+    at = {}
+    if wanted:
+        schema = T.StructType(
+            [
+                T.StructField("_stratum", types["_stratum"]),
+                T.StructField("_bucket", T.StringType()),
+                T.StructField("_needs", T.ArrayType(T.LongType())),
+            ]
         )
+        # at most one row per stratum and cut
+        needs = spark.createDataFrame([(s, b, sorted(n)) for (s, b), n in wanted.items()], schema)
+        inside = Window.partitionBy("_stratum", "_bucket").orderBy("_digest", key)
+        edge = (
+            slim.join(F.broadcast(needs), ["_stratum", "_bucket"])
+            .withColumns(
+                {
+                    "_inside": F.row_number().over(inside).cast("bigint"),
+                    "_repeated": F.coalesce(F.lead(key).over(inside) == F.col(key), F.lit(False)),
+                }
+            )
+            .filter(F.array_contains("_needs", F.col("_inside")))
+            .select("_stratum", "_bucket", "_inside", "_digest", "_repeated", F.col(key).alias("_key"))
+        ).collect()
+        if any(r["_repeated"] for r in edge):
+            raise ValueError(f"{key} does not identify a row, so a sample of exact size is not defined")
+        at = {(r["_stratum"], r["_bucket"], r["_inside"]): (r["_digest"], r["_key"]) for r in edge}
+    rows = []
+    for row in found:
+        edges = []
+        for i in range(cuts):
+            cut = row[f"cut{i}"]
+            beyond = BEFORE_ALL if cut["none"] else PAST_ALL
+            edges.append(at.get((row["_stratum"], cut["bucket"], cut["need"]), (beyond, None)))
+        rows.append((row["_stratum"], *edges))
+    edge_type = T.StructType([T.StructField("digest", T.StringType()), T.StructField("key", types[key])])
+    return spark.createDataFrame(
+        rows,
+        T.StructType(
+            [T.StructField("_stratum", types["_stratum"])]
+            + [T.StructField(f"_edge{i}", edge_type) for i in range(cuts)]
+        ),
     )
-    return clear.unionByName(crossed)
+
+
+def _compare_with_edges(df, stratum, key, seed, edges: DataFrame, cuts: int) -> DataFrame:
+    ordered = with_order(df, stratum, key, seed)
+    # at most ``max_strata`` rows
+    placed = ordered.join(F.broadcast(edges), "_stratum")
+    passed = []
+    for i in range(cuts):
+        edge_digest, edge_key = F.col(f"_edge{i}.digest"), F.col(f"_edge{i}.key")
+        after = (F.col("_digest") > edge_digest) | ((F.col("_digest") == edge_digest) & (F.col(f"`{key}`") > edge_key))
+        passed.append(F.when(after, 1).otherwise(0))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], reduce(lambda a, b: a + b, passed).alias("part"))

@@ -153,15 +153,26 @@ def quantiles(
     rows: int | None = None,
     one_aggregate_cells: int = ONE_AGGREGATE_CELLS,
     leaf_rows: int = LEAF_ROWS,
+    approximate: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation; missing values are skipped.
 
     Small tables take one ``percentile`` aggregate, larger ones the pivot search.
+    ``approximate`` is an accuracy for those who prefer a single pass with existing
+    values within ``rows / accuracy`` ranks of the exact ones.
     """
     wanted = {c: list(p) for c, p in wanted.items() if p}
     if not wanted:
         return {}
     values = clean_nan(df.select(*[F.col(f"`{c}`") for c in wanted]), wanted)
+    if approximate:
+        row = values.agg(
+            *[
+                F.percentile_approx(F.col(f"`{c}`").cast("double"), p, approximate).alias(f"q{i}")
+                for i, (c, p) in enumerate(wanted.items())
+            ]
+        ).first()
+        return {c: list(q) if q is not None else [None] * len(wanted[c]) for c, q in zip(wanted, row)}
     rows = values.count() if rows is None else rows
     if rows * len(wanted) <= one_aggregate_cells:
         row = values.agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, stats
@@ -51,6 +51,15 @@ class LabelCodes:
         return out
 
 
+    def stored_under(self, spark: SparkSession, path: str) -> "LabelCodes":
+        """The same codes with the long tables copied below ``path``."""
+        long = {}
+        for i, (c, source) in enumerate(self.long.items()):
+            long[c] = f"{path}/codes_{i}"
+            spark.read.parquet(source).write.mode("overwrite").parquet(long[c])
+        return LabelCodes(self.short, long, self.sizes)
+
+
 def _text(c: str):
     return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING_TEXT))
 

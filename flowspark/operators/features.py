@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,12 +129,17 @@ class FlowPreprocessorModel:
             infinity=InfinityRepair(**state["infinity"]) if state["infinity"] else None,
         )
 
+    def stored_under(self, spark: SparkSession, path: str) -> "FlowPreprocessorModel":
+        """The same model without references to the work folder."""
+        return replace(self, codes=self.codes.stored_under(spark, path))
+
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame([(self.to_json(),)], "state string").write.mode("overwrite").text(path)
+        text = self.stored_under(spark, path).to_json()
+        spark.createDataFrame([(text,)], "state string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FlowPreprocessorModel":
-        return cls.from_json(spark.read.text(path, wholetext=False).first()["value"])
+        return cls.from_json(spark.read.text(f"{path}/state").first()["value"])
 
 
 @dataclass

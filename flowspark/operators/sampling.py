@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.ordering import digest, draw_below, with_part, with_rank
+from ..functions.ordering import MAX_STRATA, digest, draw_below, with_part, with_rank
 from ..functions.scalars import lookup
 
 PARTS_PER_UNIT = 1_000_000
@@ -77,23 +77,31 @@ def balance_to_target(
     row costs one joined row however often it is repeated.
     """
     kept = first_rows(df, [target], key, size, seed, **limits)
-    counts = df.groupBy(target).agg(F.count("*").alias("class_rows"))
-    small = counts.filter(F.col("class_rows") < size)
-    needed = F.lit(size) - F.col("class_rows")
+    counts = df.groupBy(F.col(target).alias("_class")).agg(F.count("*").alias("_rows"))
+    small = counts.filter(F.col("_rows") < size).withColumn("_needed", F.lit(size) - F.col("_rows"))
+    rows = small.limit(MAX_STRATA + 1).collect()
+    if len(rows) <= MAX_STRATA:
+        # few classes: their rows are filtered, not joined, out of the table
+        names = [r["_class"] for r in rows]
+        grows = F.col(target).isin([n for n in names if n is not None])
+        if None in names:
+            grows = F.coalesce(grows, F.lit(False)) | F.col(target).isNull()
+        growing = df.filter(grows)
+        small = df.sparkSession.createDataFrame(rows, small.schema)
+    else:
+        growing = df.join(small.select("_class"), F.col(target).eqNullSafe(F.col("_class")), "left_semi")
     chunks = small.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((needed - 1) / COPIES_PER_CHUNK)))
-    ).repartition(target, "_chunk")
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_needed") - 1) / COPIES_PER_CHUNK)))
+    ).repartition("_class", "_chunk")
     first = F.col("_chunk") * COPIES_PER_CHUNK + 1
-    draws = chunks.withColumn("_i", F.explode(F.sequence(first, F.least(first + COPIES_PER_CHUNK - 1, needed))))
+    last = F.least(first + COPIES_PER_CHUNK - 1, F.col("_needed"))
     times = (
-        draws.withColumn("_row", draw_below(F.col("class_rows"), seed, target, "_i") + 1)
-        .groupBy(F.col(target).alias("_class"), "_row")
+        chunks.withColumn("_i", F.explode(F.sequence(first, last)))
+        .withColumn("_row", draw_below(F.col("_rows"), seed, "_class", "_i") + 1)
+        .groupBy("_class", "_row")
         .agg(F.count("*").alias("_times"))
     )
     # only the classes that grow are ranked
-    growing = df.join(
-        small.select(F.col(target).alias("_class")), F.col(target).eqNullSafe(F.col("_class")), "left_semi"
-    )
     ranked = with_rank(growing, [target], key, seed)
     drawn = ranked.join(times, F.col(target).eqNullSafe(F.col("_class")) & (F.col("rank") == F.col("_row")))
     copies = repeat_rows(drawn.select(*df.columns, "_times"), F.col("_times"), key).drop("_times")

@@ -40,14 +40,16 @@ def train_detector(
     with_stage_one: bool = True,
     repair_infinite: bool = True,
     split_path: str | None = None,
+    cache: bool = True,
 ) -> Training:
     """Fit the preprocessing and both stages and evaluate them on held-out rows.
 
     The preprocessed rows are written once with their split, to ``split_path`` or
-    the shared work folder, and every later step reads that table.
+    the shared work folder, and every later step reads that table. Pass
+    ``cache=False`` when ``df`` is a plain scan of a stored table.
     """
     spark = df.sparkSession
-    fitted = FlowPreprocessor(target, (key,), repair_infinite).fit(df)
+    fitted = FlowPreprocessor(target, (key,), repair_infinite).fit(df, cache)
     processed = profile.normalize_labels(fitted.transform(df), target)
     path = split_path or work_path(spark, "training")
     sampling.split_three_way(processed, key, target).write.mode("overwrite").partitionBy("split").parquet(path)
@@ -91,7 +93,7 @@ def training_job(
     **options,
 ) -> Training:
     """Load a table, train, save the detector, register it and record the run."""
-    result = train_detector(tables.load_table(spark, data, fmt), key, target, **options)
+    result = train_detector(tables.load_table(spark, data, fmt), key, target, cache=False, **options)
     result.detector.save(spark, model)
     tables.save_report(result.report, f"{model}/reports/classes")
     tables.save_report(result.confusion, f"{model}/reports/confusion")

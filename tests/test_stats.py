@@ -106,11 +106,22 @@ def test_rank_is_a_permutation(spark):
         assert {r["stratum_rows"] for r in rows if r["c"] == c} == {n}
 
 
-def test_only_the_cut_buckets_are_shuffled(spark):
+def test_repeated_keys_are_refused(spark):
+    df = spark.createDataFrame([(1,)] * 10, "k bigint")
+    with pytest.raises(ValueError, match="identify"):
+        ordering.with_part(df, [], "k", 1, [lambda n: F.lit(4)])
+
+
+def test_parts_need_no_shuffle(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), F.lit("a").alias("c"), F.lit(1.0).alias("wide"))
     got = ordering.with_part(df, ["c"], "k", 1, [lambda n: F.floor(n / 2)])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Window") == 1 and "Union" in plan
+    assert "Window" not in plan and "Aggregate" not in plan and "broadcast" in plan
+
+
+def test_approximate_quantiles(spark):
+    df = spark.range(1001).select(F.col("id").cast("double").alias("x"))
+    assert stats.quartiles(df, ["x"], approximate=10_000)["x"] == pytest.approx([250, 750], abs=1)
 
 
 @pytest.mark.parametrize("literal", [1000, 2])
