@@ -197,6 +197,21 @@ def error_types(spark, sf_dir):
     return evaluate.error_types(_detected(spark, sf_dir))
 
 
+@query(
+    scored_sql(
+        "SELECT flows.flow_id, anomaly_type, CASE WHEN flows.flow_id % 10 <> 0 THEN label END AS label, "
+        "coalesce(flows.flow_id % 10 <> 0 AND label = anomaly_type, FALSE) AS is_correct "
+        "FROM flows JOIN detected ON detected.flow_id = flows.flow_id"
+    )
+)
+def align_predictions(spark, sf_dir):
+    """Truth and predictions from two tables, some predictions missing."""
+    stored = _detected(spark, sf_dir).filter("flow_id % 10 <> 0").select("flow_id", "label", "confidence")
+    truth = fixtures.flows(spark, sf_dir).select("flow_id", "anomaly_type")
+    aligned = evaluate.align_predictions(truth, stored, "flow_id")
+    return evaluate.with_correctness(aligned, "anomaly_type").select("flow_id", "anomaly_type", "label", "is_correct")
+
+
 @query(scored_sql("SELECT flow_id, true_label, label, confidence FROM detected WHERE label <> true_label"))
 def error_rows(spark, sf_dir):
     return evaluate.error_rows(_detected(spark, sf_dir)).select("flow_id", "true_label", "label", "confidence")

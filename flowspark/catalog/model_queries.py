@@ -81,6 +81,28 @@ def weighted_training(spark, sf_dir):
     return rounded(_training(spark, sf_dir, weighted=True, with_stage_one=False).report)
 
 
+@query(
+    flows_sql(
+        "SELECT anomaly_type, count(*) AS rows, count(*) AS labelled, count(*) AS sums_to_one FROM flows GROUP BY 1"
+    )
+)
+def raw_scaled_training(spark, sf_dir):
+    """Raw captures through the adapter and a saved scaler to a trained detector."""
+    raw = features.drop_identifiers(fixtures.raw_flows(spark, sf_dir))
+    trained = training.train_detector(
+        raw, "flow_id", settings=SETTINGS, raw=True, scaling="standard", with_stage_one=False
+    )
+    path = work_path(spark, "detector")
+    trained.detector.save(spark, path)
+    scored = Detector.load(spark, path).score(raw)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    return scored.groupBy(S.TARGET).agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("label").isin(*S.CLASSES, S.CODE_LABELS[S.NEEDS_REVIEW])).alias("labelled"),
+        F.count_if(F.abs(total - 1.0) < 1e-9).alias("sums_to_one"),
+    )
+
+
 @query()
 def feature_importance(spark, sf_dir):
     return _training(spark, sf_dir, with_stage_one=False).importance

@@ -43,7 +43,9 @@ def flows_from(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         )
 
     share = key % 100
-    return orders.join(packets_per_flow(lineitem), key == F.col("k"), "left").select(
+    # both sides grow with the data: no broadcast, and a join that can spill
+    packets = packets_per_flow(lineitem).hint("merge")
+    return orders.join(packets, key == F.col("k"), "left").select(
         key.alias("flow_id"),
         F.concat(F.lit("192.168."), customer % 4, F.lit("."), customer % 251).alias("src_ip"),
         F.when(key % 211 == 0, "300.1.1")

@@ -17,6 +17,16 @@ def with_correctness(df: DataFrame, truth: str = "true_label", predicted: str =
     return df.withColumn("is_correct", F.col(truth).eqNullSafe(F.col(predicted)))
 
 
+def align_predictions(truth: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+    """Rows of ``truth`` with the columns of ``predictions`` for the same key.
+
+    For labels and predictions that are stored apart; a row without a prediction is
+    kept with NULLs.
+    """
+    extra = [c for c in predictions.columns if c != key and c not in truth.columns]
+    return truth.join(predictions.select(key, *extra), key, "left")
+
+
 def error_rows(df: DataFrame, truth: str = "true_label", predicted: str = "label") -> DataFrame:
     """Rows whose prediction differs from the truth."""
     return with_correctness(df, truth, predicted).filter(~F.col("is_correct"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,13 @@ class Scaler:
             {c: F.col(f"`{c}`") * F.lit(s) + F.lit(m) for c, (m, s) in self.parameters.items() if c in df.columns}
         )
 
+    def to_json(self) -> str:
+        return json.dumps(self.parameters)
+
+    @classmethod
+    def from_json(cls, text: str) -> "Scaler":
+        return cls({c: tuple(p) for c, p in json.loads(text).items()})
+
 
 def _scale(value: float | None) -> float:
     return float(value) if value else 1.0

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import stats
 from ..operators import evaluate, models, profile, sampling
-from ..operators.features import FlowPreprocessor
+from ..operators.features import FlowPreprocessor, RawFlowAdapter
 from ..operators.models import TreeSettings
+from ..operators.scaling import fit_scaler
 from ..session import work_path
 from ..sources import tables
 from ..sources.models import Detector, record_run, register_model, training_runs
@@ -39,38 +40,50 @@ def train_detector(
     weighted: bool = False,
     with_stage_one: bool = True,
     repair_infinite: bool = True,
+    raw: bool = False,
+    scaling: str | None = None,
     split_path: str | None = None,
     cache: bool = True,
 ) -> Training:
-    """Fit the preprocessing and both stages and evaluate them on held-out rows.
-
-    The preprocessed rows are written once with their split, to ``split_path`` or
-    the shared work folder, and every later step reads that table. Pass
-    ``cache=False`` when ``df`` is a plain scan of a stored table.
+    """Fit the preparation and both stages and evaluate them on held-out rows.
+
+    ``raw`` takes a flow-meter table with integer labels through the adapter instead
+    of core flows through the preprocessor. ``scaling`` names a scaler to fit on the
+    training rows; it is saved with the detector. The prepared rows are written once
+    with their split, to ``split_path`` or the shared work folder, and every later
+    step reads that table. Pass ``cache=False`` when ``df`` is a plain scan of a
+    stored table.
     """
     spark = df.sparkSession
-    fitted = FlowPreprocessor(target, (key,), repair_infinite).fit(df, cache)
+    if raw:
+        fitted = RawFlowAdapter((key,)).fit(df, cache)
+    else:
+        fitted = FlowPreprocessor(target, (key,), repair_infinite).fit(df, cache)
     processed = profile.normalize_labels(fitted.transform(df), target)
     path = split_path or work_path(spark, "training")
     sampling.split_three_way(processed, key, target).write.mode("overwrite").partitionBy("split").parquet(path)
     stored = spark.read.parquet(path)
-    parts = {name: stored.filter(F.col("split") == name) for name in ("train", "validation", "test")}
     counts = {r["split"]: r["n"] for r in stored.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    parts = {name: stored.filter(F.col("split") == name) for name in ("train", "validation", "test")}
+    features = S.numeric_columns(processed, (key, target)) if raw else fitted.features
+    steps = [fitted]
+    if scaling:
+        scaler = fit_scaler(parts["train"], features, scaling, counts.get("train"))
+        parts = {name: scaler.transform(part) for name, part in parts.items()}
+        steps.append(scaler)
     train, weight = parts["train"], None
     if weighted:
         weight = "sample_weight"
         train = profile.with_sample_weights(train, profile.class_weights(train, target), target, weight)
-    features = fitted.features
     two = models.train_stage_two(train, features, target, learner, settings, weight)
     one = models.train_stage_one(train, features, target, settings, weight) if with_stage_one else None
-    detector = Detector(fitted, two, one)
 
     def metrics(part: DataFrame) -> dict[str, float]:
         return evaluate.accuracy_metrics(two.predict(part), target).first().asDict()
 
     tested = two.predict(parts["test"])
     return Training(
-        detector,
+        Detector(steps, two, one),
         counts,
         metrics(parts["validation"]),
         metrics(parts["test"]),

@@ -210,3 +210,29 @@ def test_stream_equals_batch(trained, spark, sf_dir, tmp_path):
     scoring.summarize_stream(stream, trained.detector.score, summaries, second).awaitTermination()
     assert spark.read.parquet(summaries).count() == 4
     assert scoring.total_summary(spark, summaries).first()["total_samples"] == 1500
+
+
+def test_raw_scaled_detector(spark, sf_dir, tmp_path):
+    raw = fixtures.raw_flows(spark, sf_dir).drop("Flow ID", "Src IP", "Dst IP")
+    trained = training.train_detector(
+        raw, "flow_id", settings=QUICK, raw=True, scaling="robust", with_stage_one=False, learner="boosted"
+    )
+    trained.detector.save(spark, str(tmp_path / "model"))
+    loaded = Detector.load(spark, str(tmp_path / "model"))
+    assert loaded.steps == trained.detector.steps and len(loaded.steps) == 2
+    one, two = (d.score(raw.drop("label")).select("flow_id", "label", "confidence") for d in (trained.detector, loaded))
+    assert one.exceptAll(two).count() == 0 and one.count() == 1500
+
+
+def test_long_codes_are_saved_with_the_model(spark, tmp_path):
+    df = spark.range(3000).select(
+        F.col("id").alias("k"),
+        F.concat(F.lit("app"), F.col("id") % 1500).alias("app"),
+        F.when(F.col("id") % 1500 < 700, "normal").otherwise("spoofing").alias(S.TARGET),
+    )
+    trained = training.train_detector(df, "k", settings=QUICK, with_stage_one=False)
+    path = str(tmp_path / "model")
+    trained.detector.save(spark, path)
+    loaded = Detector.load(spark, path)
+    assert loaded.steps[0].codes.long["app"].startswith(path)
+    assert loaded.prepare(df).select("app").distinct().count() == 1500
