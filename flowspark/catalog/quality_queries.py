@@ -8,6 +8,8 @@ from .. import fixtures
 from .. import schema as S
 from ..functions import scalars, stats
 from ..operators import profile, quality, scaling
+from ..session import work_path
+from ..sources import tables
 from .registry import query, rounded
 from .sql import FINITE, NUMERIC, each, flows_sql, ip_ok, median_cte, mode_sql
 
@@ -99,27 +101,35 @@ def missing_counts(spark, sf_dir):
     return quality.missing_counts(fixtures.flows(spark, sf_dir))
 
 
-@query(
-    flows_sql(
-        " UNION ALL ".join(
-            f"SELECT '{c}' AS column_name, count({c}) AS non_missing, count(*) - count({c}) AS missing, "
-            f"round(avg({c}), 4) AS mean, "
-            + (
-                f"round(stddev_samp({c}), 4)"
-                if c in FINITE
-                else f"CASE WHEN count(*) FILTER (WHERE isinf({c})) = 0 THEN round(stddev_samp(CASE WHEN isinf({c}) THEN NULL ELSE {c} END), 4) END"
-            )
-            + f" AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS p25, "
-            f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS p75, "
-            f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM flows"
-            for c in NUMERIC
+_DESCRIBED = flows_sql(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS non_missing, count(*) - count({c}) AS missing, "
+        f"round(avg({c}), 4) AS mean, "
+        + (
+            f"round(stddev_samp({c}), 4)"
+            if c in FINITE
+            else f"CASE WHEN count(*) FILTER (WHERE isinf({c})) = 0 THEN round(stddev_samp(CASE WHEN isinf({c}) THEN NULL ELSE {c} END), 4) END"
         )
+        + f" AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS p25, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS p75, "
+        f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM flows"
+        for c in NUMERIC
     )
 )
+
+
+@query(_DESCRIBED)
 def describe_numeric(spark, sf_dir):
     return rounded(profile.describe_numeric(fixtures.flows(spark, sf_dir).select(*NUMERIC)), digits=4)
 
 
+@query(_DESCRIBED)
+def describe_numeric_searched(spark, sf_dir):
+    """The same quartiles by the search that larger tables take."""
+    flows = fixtures.flows(spark, sf_dir).select(*NUMERIC)
+    return rounded(profile.describe_numeric(flows, one_aggregate_cells=0, leaf_rows=1000), digits=4)
+
+
 _TEXT = ("src_ip", "dst_ip", "protocol", "anomaly_type")
 
 
@@ -341,3 +351,28 @@ def ip_valid(spark, sf_dir):
     return fixtures.flows(spark, sf_dir).select(
         "flow_id", scalars.is_valid_ip("src_ip").alias("src_ok"), scalars.is_valid_ip("dst_ip").alias("dst_ok")
     )
+
+
+_REPAIRED = ("orders", "lineitem", "customer", "absent")
+
+
+@query(
+    " UNION ALL ".join(
+        [f"SELECT '{t}' AS table_name, 'written' AS outcome, count(*) AS rows FROM {t}" for t in _REPAIRED[:-1]]
+        + ["SELECT 'absent', 'skipped: AnalysisException', 0::BIGINT"]
+    )
+)
+def repair_tables(spark, sf_dir):
+    """Stored tables repaired one by one; one that is not there is skipped."""
+    jobs = {t: (f"{sf_dir}/{t}.parquet", work_path(spark, t)) for t in _REPAIRED}
+    outcome = quality.run_over_tables(spark, jobs, quality.repair_if_needed)
+    parts = []
+    for name, (_, target) in jobs.items():
+        rows = F.count("*") if outcome[name] == "written" else F.lit(0).cast("bigint")
+        table = spark.read.parquet(target) if outcome[name] == "written" else spark.range(1)
+        parts.append(
+            table.agg(rows.alias("rows")).select(
+                F.lit(name).alias("table_name"), F.lit(outcome[name]).alias("outcome"), "rows"
+            )
+        )
+    return tables.union_by_name(parts)
