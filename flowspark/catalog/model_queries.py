@@ -126,7 +126,7 @@ _TRAIN_END, _VALIDATION_END = _PART.format(ppm=700000), _PART.format(ppm=850000)
 FROM (SELECT anomaly_type, count(*) AS n FROM flows GROUP BY 1) t"""
     )
 )
-def training_pipeline(spark, sf_dir):
+def training_job_run(spark, sf_dir):
     """Runs table of a job that trains from a stored table, saves, registers and records."""
     data, model = work_path(spark, "flows") + ".parquet", work_path(spark, "detector")
     registry, runs = work_path(spark, "registry"), work_path(spark, "runs")

@@ -86,6 +86,14 @@ class _Interval:
             shares |= {max(0.0, share - margin), min(1.0, share + margin)}
         return sorted(shares)
 
+    def region(self, pivots: list[float]) -> Column:
+        """Number of the region of a value: below, on or between the sorted pivots."""
+        v = self.value()
+        out = F.when(v < pivots[0], 0).when(v == pivots[0], 1)
+        for j, pivot in enumerate(pivots[1:], 1):
+            out = out.when(v < pivot, 2 * j).when(v == pivot, 2 * j + 1)
+        return out.when(v.isNotNull(), 2 * len(pivots))
+
     def split(self, pivots: list[float], counts: list[int], found: dict) -> list["_Interval"]:
         """Ranges between the pivots that still hold ranks; ranks on a pivot are done.
 
@@ -134,16 +142,19 @@ def order_statistics(
                 ]
             ).first()
             pivots = [sorted(set(values)) for values in row]
-            tallies = []
-            for s, cuts in zip(wide, pivots):
-                v = s.value()
-                for j, cut in enumerate(cuts):
-                    below = v < cut if j == 0 else (v > cuts[j - 1]) & (v < cut)
-                    tallies += [F.count_if(below), F.count_if(v == cut)]
-                tallies.append(F.count_if(v > cuts[-1]))
-            counted = iter(df.agg(*[t.alias(f"n{i}") for i, t in enumerate(tallies)]).first())
-            for s, cuts in zip(wide, pivots):
-                todo += s.split(cuts, [next(counted) for _ in range(2 * len(cuts) + 1)], found)
+            regions = {f"s{i}": s.region(cuts) for i, (s, cuts) in enumerate(zip(wide, pivots))}
+            # one narrow row per search and region, however many rows there are
+            tally = (
+                df.select(*[r.alias(name) for name, r in regions.items()])
+                .unpivot([], list(regions), "search", "region")
+                .filter(F.col("region").isNotNull())
+                .groupBy("search", "region")
+                .agg(F.count("*").alias("n"))
+            )
+            counted = {(r["search"], r["region"]): r["n"] for r in tally.collect()}
+            for i, (s, cuts) in enumerate(zip(wide, pivots)):
+                sizes = [counted.get((f"s{i}", r), 0) for r in range(2 * len(cuts) + 1)]
+                todo += s.split(cuts, sizes, found)
     return found
 
 
