@@ -59,7 +59,7 @@ def ip_to_int(c) -> Column:
 
 def protocol_code(c) -> Column:
     """Number of a known protocol name, 0 for others and NULL."""
-    return F.coalesce(lookup(c, S.PROTOCOL_CODES), F.lit(0))
+    return F.coalesce(lookup(_col(c).cast("string"), S.PROTOCOL_CODES), F.lit(0))
 
 
 def lookup(c, mapping: dict) -> Column:

@@ -106,6 +106,13 @@ def test_rename_keeps_the_rest(spark):
     assert features.feature_columns(out) == [c for c in out.columns if c != "label"]
 
 
+def test_numeric_addresses_and_protocols(spark):
+    df = spark.createDataFrame([(3232235777, 1, 5.0), (3232235778, 1, 6.0)], "src_ip bigint, protocol int, total_bytes double")
+    rows = FlowPreprocessor().fit_transform(df).collect()
+    assert [r["src_ip"] for r in rows] == [3232235777.0, 3232235778.0]
+    assert {(r["protocol"], r["protocol_encoded"]) for r in rows} == {(1.0, 0.0)}
+
+
 def test_align(spark):
     df = spark.createDataFrame([(1, 2.0)], "k int, b double")
     assert features.align_features(df, ["a", "b"], ("k",)).collect() == [(1, None, 2.0)]
