@@ -74,12 +74,16 @@ class Voters:
 class LabelModel:
     """Two classes, conditionally independent voters up to a weight that correlated voters share."""
 
-    def __init__(self, voters: int, prior: float):
-        self.prior = prior
-        self.rate = np.tile([[0.02], [0.2]], (1, voters))  # of firing, by class
-        self.rate[:, -1] = 0.95, 0.2
-        self.rate[:, -4] = 0.05, 0.02  # one mined word alone
-        self.weight = np.ones(voters)
+    def __init__(self, votes: np.ndarray, labels: np.ndarray):
+        """Starts from the labelled rows' votes, which also stay half of the evidence in every round."""
+        share = np.stack([labels == 0, labels == 1]).astype(float)
+        self.anchor_n, self.anchor = share.sum(axis=1), share @ votes
+        self.weight = np.ones(votes.shape[1])
+        self.settle(self.anchor_n, self.anchor)
+
+    def settle(self, n: np.ndarray, fired: np.ndarray) -> None:
+        self.prior = float(np.clip(n[1] / n.sum(), 1e-4, 0.5))
+        self.rate = np.clip((fired + 0.5) / (n[:, None] + 10.0), 1e-5, 1 - 1e-5)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         logs = np.log(self.rate / (1 - self.rate))
@@ -93,9 +97,8 @@ class LabelModel:
         total = n.sum()
         if total <= 0:
             return
-        self.prior = float(np.clip(n[1] / total, 1e-4, 0.5))
-        # a beta prior that expects few votes keeps the classes from changing sides
-        self.rate = np.clip((fired + [[0.5], [1.0]]) / (n[:, None] + 10.0), 1e-5, 1 - 1e-5)
+        scale = total / self.anchor_n.sum()
+        self.settle(n + scale * self.anchor_n, fired + scale * self.anchor)
         share = pairs / np.maximum(n, 1e-9)[:, None, None]
         mean = fired / np.maximum(n, 1e-9)[:, None]
         spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
@@ -131,9 +134,9 @@ def vote_matrix(fired: list[list[int]], voters: int) -> np.ndarray:
     return out
 
 
-def fit_label_model(votes: DataFrame, voters: int, prior: float) -> LabelModel:
+def fit_label_model(votes: DataFrame, model: LabelModel) -> LabelModel:
     """Expectation maximisation; each round one job that sums by class over all vote sets."""
-    model = LabelModel(voters, prior)
+    voters = len(model.weight)
     size = 1 + voters + voters * voters
 
     for _ in range(EM_ROUNDS):
@@ -266,9 +269,10 @@ def toxicity_scores(
         voters = Voters(mined_words(words, marks))
         learnt = docs.where(fold(F.col(key)) != 0)
         votes = written(vote_table(learnt, voters, key, text), "toxic-votes")
-        model = fit_label_model(votes, len(voters.names), float(np.clip(marks.mean(), 0.001, 0.5)))
         fired = [voters.fired(t, w) for (t, _), w in zip(sample, words)]
-        target = model.posterior(vote_matrix(fired, len(voters.names)))
+        matrix = vote_matrix(fired, len(voters.names))
+        model = fit_label_model(votes, LabelModel(matrix, marks))
+        target = model.posterior(matrix)
         classifier = fit_classifier(words, fired, target, len(voters.names))
 
     def make():
