@@ -20,7 +20,6 @@ from functools import lru_cache
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import map_texts, sha256_hex, table
 from .registry import query
@@ -244,6 +243,4 @@ def tokenizer_path(name: str) -> str:
 @query()
 def op3_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return encoding_digests(docs, tokenizer_path("word_bpe_49k.json")).withColumn(
-        "n_tokens", F.col("n_tokens").cast("bigint")
-    )
+    return encoding_digests(docs, tokenizer_path("word_bpe_49k.json"))
