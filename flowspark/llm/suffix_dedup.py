@@ -313,8 +313,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(f"`{key}`").alias("key"), body.alias("text")).withColumn("rid", F.xxhash64("key", "text"))
     found = anchor_table(rows.where(F.octet_length("text") >= LENGTH))
     found = written(found, "anchors")
-    counts = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    again = found.join(counts.select("h", (F.col("n") > HOT).alias("hot")), "h")
+    counts = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchor-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # at most a thousand hashes hold more than a thousandth of the anchors each; they need no shuffle by hash
+    frequent = F.col("n") * 1000 > total
+    crowd = F.broadcast(counts.where(frequent).select("h", F.col("n").alias("crowd_n")))
+    marked = found.join(crowd, "h", "left")
+    rest = marked.where("crowd_n is null").drop("crowd_n").join(counts.where(~frequent), "h")
+    again = marked.where("crowd_n is not null").withColumnRenamed("crowd_n", "n").unionByName(rest)
+    again = again.withColumn("hot", F.col("n") > HOT)
     by_doc = again.groupBy("rid").agg(
         F.collect_set(F.struct("first", "last", "anchor", "h", "hot")).alias("found")
     )
