@@ -91,8 +91,8 @@ def packet_bucket(spark, sf_dir):
 @query(
     flows_sql(
         "SELECT flow_id, protocol, "
-        "CAST(dense_rank() OVER (ORDER BY coalesce(protocol, 'nan')) - 1 AS INTEGER) AS protocol_code, "
-        "CAST(dense_rank() OVER (ORDER BY coalesce(anomaly_type, 'nan')) - 1 AS INTEGER) AS anomaly_type_code FROM flows"
+        "CAST(dense_rank() OVER (ORDER BY coalesce(protocol, 'nan')) - 1 AS BIGINT) AS protocol_code, "
+        "CAST(dense_rank() OVER (ORDER BY coalesce(anomaly_type, 'nan')) - 1 AS BIGINT) AS anomaly_type_code FROM flows"
     )
 )
 def label_encode(spark, sf_dir):

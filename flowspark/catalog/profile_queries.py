@@ -157,6 +157,35 @@ def labelled_files(spark, sf_dir):
     return labelled.groupBy("file_name", S.TARGET).agg(F.count("*").alias("rows"))
 
 
+_MIXED_SQL = """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders"""
+
+
+def _mixed_folder(spark, sf_dir, fmt):
+    """A folder whose files differ in the order and type of columns, and one of which has a column more."""
+    folder = work_path(spark, f"mixed-{fmt}")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    odd = orders.where("o_orderkey % 2 <> 0").select("o_orderkey", "o_custkey")
+    even = orders.where("o_orderkey % 2 = 0").select(
+        F.col("o_orderstatus"), (F.col("o_custkey") + F.lit(0.0)).alias("o_custkey"), "o_orderkey"
+    )
+    for part in (odd, even):
+        writer = part.write.mode("append").option("header", True)
+        writer.format(fmt).save(folder)
+    found = tables.load_directory(spark, folder, f"*.{fmt}")
+    return found.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_custkey", "o_orderstatus")
+
+
+@query(_MIXED_SQL)
+def mixed_parquet_folder(spark, sf_dir):
+    return _mixed_folder(spark, sf_dir, "parquet")
+
+
+@query(_MIXED_SQL)
+def mixed_csv_folder(spark, sf_dir):
+    return _mixed_folder(spark, sf_dir, "csv")
+
+
 @query(
     flows_sql(
         f"""SELECT f AS file_name, anomaly_type AS label, count(*) AS original_count,

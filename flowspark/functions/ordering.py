@@ -69,20 +69,27 @@ def bucket_starts(ordered: DataFrame) -> DataFrame:
     ).withColumn("_total", F.sum("_rows").over(whole))
 
 
-def with_rank(df: DataFrame, stratum: list[str], key: str, seed: int, digits: int = BUCKET_DIGITS) -> DataFrame:
+def with_rank(
+    df: DataFrame, stratum: list[str], key: str, seed: int, digits: int = BUCKET_DIGITS, with_repeats: bool = False
+) -> DataFrame:
     """Add ``rank`` (1-based, within the stratum) and ``stratum_rows``.
 
+    ``with_repeats`` adds ``repeated``: whether the next row of the stratum has the same key.
+
     ``key`` must identify a row. The window and the join share one partitioning by
     (stratum, bucket), so a stratum with most of the rows is spread over all tasks.
     """
     ordered = with_order(df, stratum, key, seed, digits)
     starts = bucket_starts(ordered).drop("_rows")
     inside = Window.partitionBy("_stratum", "_bucket").orderBy("_digest", key)
-    ranked = ordered.withColumn("_inside", F.row_number().over(inside))
+    repeated = F.coalesce(F.lead(key).over(inside) == F.col(key), F.lit(False))
+    ranked = ordered.withColumn("_inside", F.row_number().over(inside)).withColumn("_repeated", repeated)
+    flag = [F.col("_repeated").alias("repeated")] if with_repeats else []
     return ranked.join(starts, ["_stratum", "_bucket"]).select(
         *df.columns,
         (F.col("_start") + F.col("_inside")).alias("rank"),
         F.col("_total").alias("stratum_rows"),
+        *flag,
     )
 
 
@@ -124,8 +131,16 @@ def with_part(
     )
     found = per_stratum.limit(max_strata + 1).collect()
     if len(found) > max_strata:
-        ranked = with_rank(df, stratum, key, seed, digits)
-        passed = [F.when(F.col("rank") > cut(F.col("stratum_rows")), 1).otherwise(0) for cut in cuts]
+        ranked = with_rank(df, stratum, key, seed, digits, with_repeats=True)
+        passed = [
+            F.when(
+                (F.col("rank") == cut(F.col("stratum_rows"))) & F.col("repeated"),
+                F.raise_error(F.lit(f"{key} does not identify a row, so a sample of exact size is not defined")).cast("int"),
+            )
+            .when(F.col("rank") > cut(F.col("stratum_rows")), 1)
+            .otherwise(0)
+            for cut in cuts
+        ]
         return ranked.select(*df.columns, reduce(lambda a, b: a + b, passed).alias("part"))
     if not found:
         return df.withColumn("part", F.lit(0))

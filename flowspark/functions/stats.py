@@ -175,7 +175,17 @@ def quantiles(
     wanted = {c: list(p) for c, p in wanted.items() if p}
     if not wanted:
         return {}
-    values = clean_nan(df.select(*[F.col(f"`{c}`") for c in wanted]), wanted)
+    # decimals as doubles on every path, as percentile takes them
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    values = clean_nan(
+        df.select(
+            *[
+                F.col(f"`{c}`").cast("double").alias(c) if isinstance(kinds[c], T.DecimalType) else F.col(f"`{c}`")
+                for c in wanted
+            ]
+        ),
+        wanted,
+    )
     if approximate:
         row = values.agg(
             *[

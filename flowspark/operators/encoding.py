@@ -32,7 +32,7 @@ class LabelCodes:
             {
                 c + suffix: F.coalesce(
                     scalars.lookup(_text(c), {v: i for i, v in enumerate(values)}), F.lit(len(values))
-                ).cast("int")
+                ).cast("bigint")
                 for c, values in short.items()
                 if values
             }

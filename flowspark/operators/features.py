@@ -13,17 +13,7 @@ from ..functions import scalars, stats
 from .encoding import LabelCodes, fit_label_codes
 from .quality import FillValues, InfinityRepair, coerce_numeric, fit_infinity_repair
 
-COERCED = (
-    "flow_duration",
-    "total_packets",
-    "total_bytes",
-    "avg_packet_size",
-    "packets_per_second",
-    "bytes_per_second",
-    "min_packet_size",
-    "max_packet_size",
-    "std_packet_size",
-) + S.PORT_COLUMNS
+COERCED = S.COERCED_COLUMNS + S.PORT_COLUMNS
 IQR_REACH = 1.5
 MICROSECONDS = 1_000_000
 

@@ -63,11 +63,14 @@ class TreeSettings:
         return learner.setValidationIndicatorCol(self.validation_column) if self.validation_column else learner
 
 
-def class_list(df: DataFrame, target: str = S.TARGET) -> list[str]:
-    """Sorted distinct labels; their positions are the class codes."""
-    rows = df.select(target).filter(F.col(target).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} distinct labels in {target}")
+def class_list(df: DataFrame, target: str = S.TARGET, max_classes: int = MAX_CLASSES) -> list[str]:
+    """Sorted distinct labels; their positions are the class codes.
+
+    More than ``max_classes`` of them are an error, since every class is part of each row's probabilities.
+    """
+    rows = df.select(target).filter(F.col(target).isNotNull()).distinct().limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} distinct labels in {target}")
     return sorted(r[0] for r in rows)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from ..operators import evaluate, profile
 
 FORMAT_BY_EXTENSION = {"parquet": "parquet", "csv": "csv", "json": "json"}
 WRITABLE = ("parquet", "csv")
+FILE_COLUMN = "_source_file"
 
 
 def detect_format(path: str) -> str:
@@ -51,30 +54,88 @@ def load_json_lines(spark: SparkSession, path: str, schema: T.StructType | None
     return reader.json(path)
 
 
-def load_directory(
-    spark: SparkSession,
-    path: str,
-    pattern: str = "*.parquet",
-    schema: T.StructType | None = None,
-    merge_schema: bool = False,
-) -> DataFrame:
-    """All files of a folder that match ``pattern``; corrupt files are skipped.
+@dataclass
+class Folder:
+    """Rows of a folder's readable files, and (path, reason) of the files that were skipped."""
 
-    An error if nothing matches or nothing can be read.
-    """
-    fmt = detect_format(pattern)
-    reader = (
-        _reader(spark, fmt, schema).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
-    )
-    if fmt == "parquet" and merge_schema:
-        reader = reader.option("mergeSchema", True)
+    rows: DataFrame
+    skipped: list[tuple[str, str]]
+
+
+def list_files(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Paths of a folder's files that match ``pattern``, sorted; contents are not read."""
     try:
-        df = reader.load(path)
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path").collect()
     except AnalysisException as error:
-        raise ValueError(f"no readable file matches {pattern} in {path}") from error
-    if not df.inputFiles():
+        raise ValueError(f"cannot list {path}: {error}") from error
+    return sorted(r["path"] for r in found)
+
+
+def _file_schema(spark: SparkSession, fmt: str, file: str) -> tuple[T.StructType | None, str]:
+    """A file's own schema (of a CSV file, its header), or why it cannot be read."""
+    try:
+        if fmt == "csv":
+            return spark.read.option("header", True).csv(file).schema, ""
+        return _reader(spark, fmt, None).load(file).schema, ""
+    except Exception as error:  # any fault of one file is that file's
+        return None, str(error).splitlines()[0]
+
+
+def _common_type(kinds: list[T.DataType]) -> T.DataType:
+    """The narrowest of bigint, double and string that holds all kinds; one kind stays as it is."""
+    if all(k == kinds[0] for k in kinds):
+        return kinds[0]
+    if all(isinstance(k, T.IntegralType) for k in kinds):
+        return T.LongType()
+    return T.DoubleType() if all(isinstance(k, T.NumericType) for k in kinds) else T.StringType()
+
+
+def read_directory(
+    spark: SparkSession, path: str, pattern: str = "*.parquet", schema: T.StructType | None = None
+) -> Folder:
+    """All files of a folder that match ``pattern``, whatever their columns and types.
+
+    Files of one schema or header share a reader, and the readers' rows are united by name: an absent column is NULL,
+    columns of different numeric types become bigint or double, others text. A file that cannot be opened is
+    skipped and named. An error if nothing matches or nothing can be read.
+    """
+    fmt = detect_format(pattern)
+    files = list_files(spark, path, pattern)
+    if not files:
         raise ValueError(f"no file matches {pattern} in {path}")
-    return df
+    with ThreadPoolExecutor(16) as pool:
+        schemas = list(pool.map(lambda f: _file_schema(spark, fmt, f), files))
+    skipped = [(f, reason) for f, (found, reason) in zip(files, schemas) if found is None]
+    groups: dict[str, list[str]] = {}
+    for file, (found, _) in zip(files, schemas):
+        if found is not None:
+            groups.setdefault(found.json(), []).append(file)
+    if not groups:
+        raise ValueError(f"no readable file matches {pattern} in {path}: {skipped[0][1]}")
+    frames = []
+    for _, members in sorted(groups.items()):
+        frame = _reader(spark, fmt, None).load(members)
+        frames.append(frame.select("*", F.col("_metadata.file_name").alias(FILE_COLUMN)))
+    if schema is not None:
+        kinds = {f.name: f.dataType for f in schema.fields}
+        names = list(kinds)
+    else:
+        names = list(dict.fromkeys(c for f in frames for c in f.columns if c != FILE_COLUMN))
+        kinds = {n: _common_type([f.schema[n].dataType for f in frames if n in f.columns]) for n in names}
+    # the name in the metadata is percent-encoded; a plus sign stands for itself
+    decoded = F.url_decode(F.replace(F.col(FILE_COLUMN), F.lit("+"), F.lit("%2B"))).alias(FILE_COLUMN)
+    widened = [
+        f.select(*[(F.col(f"`{n}`") if n in f.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names], decoded)
+        for f in frames
+    ]
+    return Folder(union_by_name(widened), skipped)
+
+
+def load_directory(
+    spark: SparkSession, path: str, pattern: str = "*.parquet", schema: T.StructType | None = None
+) -> DataFrame:
+    """The rows of ``read_directory``; files that cannot be opened are left out."""
+    return read_directory(spark, path, pattern, schema).rows.drop(FILE_COLUMN)
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -102,11 +163,10 @@ def load_labelled(
     schema: T.StructType | None = None,
     rules=S.FILENAME_KEYWORDS,
     unmatched: str = "normal",
-    merge_schema: bool = False,
 ) -> DataFrame:
     """A folder of captures with ``file_name``, ``anomaly_type`` and ``Label``."""
-    df = load_directory(spark, path, pattern, schema, merge_schema)
-    return with_labels(df.withColumn("file_name", F.col("_metadata.file_name")), "file_name", rules, unmatched)
+    df = read_directory(spark, path, pattern, schema).rows
+    return with_labels(df.withColumnRenamed(FILE_COLUMN, "file_name"), "file_name", rules, unmatched)
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from flowspark.functions import ordering, stats
 from flowspark import fixtures, session
 from flowspark import schema as S
 from flowspark.operators import models
@@ -50,6 +51,41 @@ def test_directory(spark, tmp_path):
         tables.load_directory(spark, str(tmp_path), "none_*.parquet")
 
 
+def test_files_that_differ(spark, tmp_path):
+    """Headers in another order, columns of one file only, int against double, broken files first and last, odd names."""
+    (tmp_path / "a b+c.csv").write_text("x,y\n1,p\n")
+    (tmp_path / "f1.csv").write_text("z,x\n0.5,2.5\n")
+    got = tables.read_directory(spark, str(tmp_path), "*.csv")
+    assert sorted(map(tuple, got.rows.select("x", "y", "z", tables.FILE_COLUMN).collect())) == [
+        (1.0, "p", None, "a b+c.csv"), (2.5, None, 0.5, "f1.csv"),
+    ]
+    for name, rows, schema in (("m1", [(1, 2)], "a bigint, b int"), ("m2", [(3, 4.5)], "b int, a double")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        part = next((tmp_path / name).glob("*.parquet"))
+        (tmp_path / f"{name}.parquet").write_bytes(part.read_bytes())
+    for name in ("a0.parquet", "z9.parquet"):
+        (tmp_path / name).write_bytes(b"broken")
+    (tmp_path / "only").mkdir()
+    for part in tmp_path.glob("m?"):
+        part.rename(tmp_path / "only" / part.name)
+    found = tables.read_directory(spark, str(tmp_path), "*.parquet")
+    assert sorted(map(tuple, found.rows.select("a", "b").collect())) == [(1.0, 2), (4.5, 3)]
+    assert [p.rsplit("/", 1)[-1] for p, _ in found.skipped] == ["a0.parquet", "z9.parquet"] and all(r for _, r in found.skipped)
+
+
+def test_decimal_quantiles_on_both_paths(spark):
+    df = spark.range(101).selectExpr("cast(id / 10 as decimal(10,2)) as d")
+    small = stats.quantiles(df, {"d": [0.25, 0.505]})
+    assert small == stats.quantiles(df, {"d": [0.25, 0.505]}, one_aggregate_cells=0, leaf_rows=5)
+
+
+def test_repeated_keys_at_a_cut_on_both_paths(spark):
+    df = spark.createDataFrame([(1, "a")] * 20, "k int, s string")
+    for limit in (10, 0):
+        with pytest.raises(Exception, match="does not identify a row"):
+            ordering.with_part(df, ["s"], "k", 1, [lambda n: n * 0 + 4], max_strata=limit).collect()
+
+
 def test_labelled_files(spark, tmp_path):
     for name in ("benign", "spoof_a", "strange"):
         spark.range(2).coalesce(1).write.parquet(str(tmp_path / "parts" / name))
