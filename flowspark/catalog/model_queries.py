@@ -18,7 +18,7 @@ from .feature_queries import PREPROCESS_CTES, PREPROCESSED
 from .registry import query, rounded
 from .sql import flows_sql, scored_sql
 
-SETTINGS = TreeSettings(trees=10, depth=5)
+SETTINGS = TreeSettings()
 
 
 def _training(spark, sf_dir, **options):
@@ -64,7 +64,7 @@ def boosted_classes(spark, sf_dir):
     """Class probabilities of one boosted model per class."""
     flows = fixtures.flows(spark, sf_dir)
     fitted = features.FlowPreprocessor(S.TARGET, ("flow_id",), True).fit(flows)
-    small = TreeSettings(trees=3, depth=4)
+    small = TreeSettings(trees=3, depth=4)  # 5 x 100 boosting rounds take minutes on any input
     with stats.scratch(fitted.transform(flows)) as rows:
         stage = models.train_stage_two(rows, fitted.features, learner="boosted", settings=small)
     predicted = stage.predict(fitted.transform(flows))
@@ -78,7 +78,7 @@ def boosted_classes(spark, sf_dir):
 @query()
 def weighted_training(spark, sf_dir):
     """Report of a forest trained with balanced class weights."""
-    return rounded(_training(spark, sf_dir, weighted=True, with_stage_one=False).report)
+    return rounded(_training(spark, sf_dir, weighted=True).report)
 
 
 @query(
@@ -90,7 +90,7 @@ def raw_scaled_training(spark, sf_dir):
     """Raw captures through the adapter and a saved scaler to a trained detector."""
     raw = features.drop_identifiers(fixtures.raw_flows(spark, sf_dir))
     trained = training.train_detector(
-        raw, "flow_id", settings=SETTINGS, raw=True, scaling="standard", with_stage_one=False
+        raw, "flow_id", settings=SETTINGS, raw=True, scaling="standard"
     )
     path = work_path(spark, "detector")
     trained.detector.save(spark, path)
@@ -105,12 +105,12 @@ def raw_scaled_training(spark, sf_dir):
 
 @query()
 def feature_importance(spark, sf_dir):
-    return _training(spark, sf_dir, with_stage_one=False).importance
+    return _training(spark, sf_dir).importance
 
 
 @query()
 def feature_gain_top(spark, sf_dir):
-    detector = _training(spark, sf_dir, with_stage_one=False).detector
+    detector = _training(spark, sf_dir).detector
     return rounded(models.top_features(models.feature_importance(detector.stage_two, spark, "gain")))
 
 
@@ -132,7 +132,7 @@ def training_job_run(spark, sf_dir):
     registry, runs = work_path(spark, "registry"), work_path(spark, "runs")
     tables.save_table(fixtures.flows(spark, sf_dir), data)
     training.training_job(
-        spark, data, "flow_id", model, registry, runs, settings=SETTINGS, with_stage_one=False
+        spark, data, "flow_id", model, registry, runs, settings=SETTINGS
     )
     sound = [F.col(m).between(0.0, 1.0) for m in ("accuracy", "precision", "recall", "f1")]
     return training_runs(spark, runs).select(
@@ -152,7 +152,7 @@ def training_job_run(spark, sf_dir):
 )
 def model_info(spark, sf_dir):
     """Metadata of the newest registered detector."""
-    detector = _training(spark, sf_dir, with_stage_one=False).detector
+    detector = _training(spark, sf_dir).detector
     path, registry = work_path(spark, "detector"), work_path(spark, "registry")
     detector.save(spark, path)
     register_model(spark, registry, "forest", path)
