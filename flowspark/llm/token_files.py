@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import BEYOND, LETTERS, NUMBERS, SPACE, tokenizer_path
+from .bpe import BEYOND, LETTERS, NUMBERS, SPACE, byte_symbols, tokenizer_path
 from .common import arrow_schema, table, written
 from .registry import query
 
@@ -56,6 +56,7 @@ class Pretokens:
             L=f"[{LETTERS}]", N=f"[{NUMBERS}]", O=f"[^{SPACE}{LETTERS}{NUMBERS}]", S=f"[{SPACE}]", T=f"[^{SPACE}]"
         )
         self.near = re.compile(near)
+        self.symbols = dict(enumerate(byte_symbols()))
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -78,11 +79,12 @@ class Pretokens:
         if len(self.known) + len(new) > CACHED:
             self.known.clear()
             new = list(dict.fromkeys(words))
-        found = {w: b"" for w in new}
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                found[w] = np.array(e.ids, "<u2").tobytes()
+        # the library's own BPE of one pretoken: no threads to wait for, no offsets
+        bpe, symbols = self.library.model, self.symbols
+        found = {}
+        for w in new:
+            ids = [t.id for t in bpe.tokenize(w.encode("utf-8").decode("latin-1").translate(symbols))]
+            found[w] = np.array(ids, "<u2").tobytes()
         if len(found) > CACHED:  # one text with more pretokens than are kept
             return found
         self.known.update(found)
