@@ -109,9 +109,8 @@ def nearest(
     length. A key that stands in several rows is one candidate, at its smallest distance. No rows: no answers.
     """
     rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
-    counts = rows.agg(F.count("*").alias("n")).crossJoin(asked.agg(F.count("*").alias("q"))).first()
-    shards = max(1, -(-counts["n"] // SHARD_ROWS))
-    blocks = max(1, -(-counts["q"] // BLOCK_QUERIES))
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     place = F.xxhash64("vec_id", "v")
     left = rows.select(
         F.pmod(place, F.lit(shards)).cast("bigint").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v"
