@@ -130,17 +130,22 @@ class StageTwo:
     model: PipelineModel
     trained: bool = field(default=True)
 
-    def score(self, df: DataFrame, probabilities: str = "probabilities") -> DataFrame:
-        """Add the probability array; it sums to one."""
+    def score(self, df: DataFrame, probabilities: str = "probabilities", where: Column | None = None) -> DataFrame:
+        """Add the probability array; it sums to one.
+
+        Rows for which ``where`` does not hold get NULL. Nothing else uses the learner's output, so the optimizer
+        moves it into the branch and the trees are not walked for those rows.
+        """
+        wanted = (lambda c: c) if where is None else (lambda c: F.when(where, c))
         if self.learner == "forest":
             scored = self.model.transform(df)
-            return scored.select(*df.columns, vector_to_array("probability").alias(probabilities))
+            return scored.select(*df.columns, wanted(vector_to_array("probability")).alias(probabilities))
         scored = self.model.transform(df)
         raw = F.array(*[vector_to_array(f"_probability{i}")[1] for i in range(len(self.classes))])
-        scored = scored.select(*df.columns, raw.alias("_raw"))
+        scored = scored.select(*df.columns, wanted(raw).alias("_raw"))
         total = F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x)
         even = F.lit(1.0 / len(self.classes))
-        normal = F.transform("_raw", lambda x: F.when(total > 0, x / total).otherwise(even))
+        normal = F.transform("_raw", lambda x: F.when(total > 0, x / total).otherwise(even))  # NULL stays NULL
         return scored.select(*df.columns, normal.alias(probabilities))
 
     def predict(self, df: DataFrame, label: str = "label") -> DataFrame:
