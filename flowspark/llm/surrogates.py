@@ -125,17 +125,21 @@ def with_check_digit(digits: Column) -> Column:
     return F.filter(tries, passes_checksum)[0]
 
 
-def new_name(value: Column, gender: Column, digest: Column) -> Column:
-    """As many name parts as before, given names of the gender and all of the script; the digest decides."""
+def new_name(value: Column, gender: Column, digest: Column, attempt: Column) -> Column:
+    """As many name parts as before, given names of the gender and all of the script; the digest decides.
+
+    The surname is a double one, and longer by a name after every second attempt, so that names never run out.
+    """
     cyrillic = value.rlike(r"\p{IsCyrillic}")
 
     def from_list(names: list[str], i: Column) -> Column:
         return F.element_at(F.array(*map(F.lit, names)), pick(digest, i, len(names)) + 1)
 
     def part(i: Column, last: Column, script: str) -> Column:
-        double = F.concat_ws("-", from_list(SURNAMES[script], i), from_list(SURNAMES[script], i + 11))
+        places = F.sequence(F.lit(0), 1 + F.floor(attempt / 2).cast("int"))
+        surname = F.array_join(F.transform(places, lambda k: from_list(SURNAMES[script], i + 11 * k)), "-")
         given = F.when(gender == "f", from_list(NAMES[script, "f"], i)).otherwise(from_list(NAMES[script, "m"], i))
-        return F.when(last, double).otherwise(given)
+        return F.when(last, surname).otherwise(given)
 
     parts = F.split(value, " ")
     new = F.transform(
@@ -147,22 +151,23 @@ def new_name(value: Column, gender: Column, digest: Column) -> Column:
     return F.array_join(new, " ")
 
 
-def surrogate(kind: Column, value: Column, gender: Column, digest: Column) -> Column:
-    """The replacement of a canonical entity."""
+def surrogate(kind: Column, value: Column, gender: Column, digest: Column, attempt: Column) -> Column:
+    """The replacement of a canonical entity; addresses get a longer name once a few attempts failed."""
     octets = F.transform(
         F.split(value, r"\."), lambda _, i: F.when(i == 0, 1 + pick(digest, i, 223)).otherwise(pick(digest, i, 256)).cast("string")
     )
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    more = F.when(attempt < 4, "").otherwise(F.substring(digest, F.lit(1), attempt))
     host = F.concat(F.lit("d"), F.substring(F.sha2(F.concat(F.lit(KEY), domain), 256), 1, 10), F.lit(".example."))
     top = F.when(domain.rlike(r"\.(?:org|net|com)$"), F.substring_index(domain, ".", -1)).otherwise("com")
     return (
-        F.when(kind == "email", F.concat(redrawn(local, digest, F.lit(0)), F.lit("@"), host, top))
+        F.when(kind == "email", F.concat(redrawn(local, digest, F.lit(0)), more, F.lit("@"), host, top))
         .when(kind == "ipv4", F.array_join(octets, "."))
         .when(kind == "phone", redrawn(value, digest, F.when(value.startswith("+"), 1).otherwise(0)))
         .when(kind == "card", with_check_digit(redrawn(value, digest, F.lit(1))))
         .when(kind == "iban", redrawn(value, digest, F.lit(2)))
         .when(kind == "secret", redrawn(value, digest, F.lit(0), hexadecimal=True))
-        .when(kind == "name", new_name(value, gender, digest))
+        .when(kind == "name", new_name(value, gender, digest, attempt))
         .otherwise(redrawn(value, digest, F.lit(0)))
     )
 
@@ -188,12 +193,16 @@ def formatted(kind: Column, mention: Column, new: Column) -> Column:
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, new) for entities (kind, value, gender): all replacements of a kind differ, and are no entity."""
+    """(kind, value, new) for entities (kind, value, gender): all replacements of a kind differ, and are no entity.
+
+    Names and addresses grow with the attempts, so the rounds end however many there are. Kinds of fixed format need
+    twice as many numbers in their format as there are entities.
+    """
     left = entities.select("kind", "value", "gender").withColumn("attempt", F.lit(0))
     done = None
     while True:
         digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "value", "attempt"), 512)
-        drawn = left.withColumn("new", surrogate(F.col("kind"), F.col("value"), F.col("gender"), digest))
+        drawn = left.withColumn("new", surrogate(F.col("kind"), F.col("value"), F.col("gender"), digest, F.col("attempt")))
         first = drawn.groupBy("kind", "new").agg(F.min("value").alias("winner"))
         taken = entities.select("kind", F.col("value").alias("new"))
         if done is not None:
