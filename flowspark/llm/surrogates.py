@@ -50,6 +50,8 @@ ANY = "|".join(PATTERNS.values())
 HINT = rf"[0-9@]|(?=[{INITIALS}])(?:{TITLES})\.? \p{{Lu}}"
 
 KEY = "surrogate-key"
+#: Entities that a task makes replacements for: few bytes, much work.
+DRAWN = 2_000
 
 
 def passes_checksum(digits: Column) -> Column:
@@ -198,11 +200,13 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     Names and addresses grow with the attempts, so the rounds end however many there are. Kinds of fixed format need
     twice as many numbers in their format as there are entities.
     """
-    left = entities.select("kind", "value", "gender").withColumn("attempt", F.lit(0))
+    tasks = max(1, -(-entities.count() // DRAWN))
+    left = entities.select("kind", "value", "gender").withColumn("attempt", F.lit(0)).repartition(tasks, "kind", "value")
     done = None
     while True:
         digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "value", "attempt"), 512)
-        drawn = left.withColumn("new", surrogate(F.col("kind"), F.col("value"), F.col("gender"), digest, F.col("attempt")))
+        made = surrogate(F.col("kind"), F.col("value"), F.col("gender"), digest, F.col("attempt"))
+        drawn = written(left.withColumn("new", made), "surrogates-drawn")
         first = drawn.groupBy("kind", "new").agg(F.min("value").alias("winner"))
         taken = entities.select("kind", F.col("value").alias("new"))
         if done is not None:
