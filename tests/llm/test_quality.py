@@ -220,6 +220,25 @@ def test_language_scores(spark):
     assert attention.language_scores(documents(spark, []), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_training_windows_cover_all_ids(spark):
+    """Each id of each training document is the target of one window, after the slot before it."""
+    ids = {k: np.append(np.arange(n) * 7 % 5000, attention.END).astype("<u2") for k, n in ((1, 0), (2, 47), (3, 48), (4, 60_000))}
+    rows = [(k, k == 2, x.tobytes()) for k, x in ids.items()]
+    documents = spark.createDataFrame(rows, "key int, held_out boolean, ids binary")
+    slots = attention.Slots(np.arange(attention.VOCABULARY))
+    found = attention.training_windows(documents, slots)
+    dealt = [np.frombuffer(r["windows"], "<i2") for r in attention.dealt_windows(found).collect()]
+    got = np.concatenate(dealt).reshape(-1, attention.WINDOW + 1)
+    expected = Counter()
+    for k, x in ids.items():
+        before = slots.of[np.append(attention.END, x)].tolist()
+        for i in range(0, len(x) if k != 2 else 0, attention.WINDOW):
+            one = before[i : i + attention.WINDOW + 1]
+            expected[tuple(one + [-1] * (attention.WINDOW + 1 - len(one)))] += 1
+    assert Counter(map(tuple, got.tolist())) == expected
+    assert (got[:, 1:] >= 0).sum() == sum(len(x) for k, x in ids.items() if k != 2)
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage takes what the one before kept; the last has a row for each document that is left."""
     import corpus_pipeline
