@@ -30,6 +30,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def row_id(key: str, text: str) -> Column:
+    """A hash of a row's key and text: rows that share it are copies of each other; null texts count as empty."""
+    name = F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit("n"))
+    return F.md5(F.concat(name, F.lit("\0"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).cast("binary"))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, merged_spans, table, written
+from .common import arrow_schema, merged_spans, row_id, table, written
 from .registry import query
 from .wavelet import FmIndex
 
@@ -232,7 +232,8 @@ def op5_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated; rows with a null key are judged as any other."""
-    bad = judged(contamination(docs, items, key)).where("contaminated").select(key)
-    return docs.join(bad.distinct(), docs[key].eqNullSafe(bad[key]), "left_anti")
+def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated; each row is judged by its own text, whatever its key."""
+    marked = docs.withColumn("_row", row_id(key, text))
+    bad = judged(contamination(marked, items, "_row", text)).where("contaminated").select("_row").distinct()
+    return marked.join(bad, "_row", "left_anti").select(*docs.columns)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, written
+from .common import map_texts, row_id, table, written
 from .components import components
 from .registry import query
 
@@ -277,7 +277,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     copies cost nothing there. A null key takes part under the smallest other key of its component, null if there is
     none. Repeated rows come back as often as they stand.
     """
-    marked = written(fingerprints(docs, size, key, text), "simhash-fingerprints")
+    found = grouped(written(fingerprints(docs, size, key, text), "simhash-fingerprints"), key)
+    return found.select(key, "fp", "component_id")
+
+
+def grouped(marked: DataFrame, key: str) -> DataFrame:
+    """Fingerprinted rows with ``root``, a fingerprint that names their component, and its smallest key."""
     distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
     distinct = written(distinct, "simhash-distinct")
     reached = components(links(distinct), "a", "b")  # node, root
@@ -286,8 +291,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
     named = written(named, "simhash-roots")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    class_of = named.join(smallest, "root").select("fp", "component_id")
-    return marked.join(class_of, "fp").select(key, "fp", "component_id")
+    class_of = named.join(smallest, "root").select("fp", "root", "component_id")
+    return marked.join(class_of, "fp")
 
 
 @query()
@@ -297,8 +302,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its component, each once; rows with a null key are kept."""
-    found = near_duplicates(docs, key, text)
-    kept = found.where(f"`{key}` = component_id").select(key).distinct()
-    whole = docs.where(F.col(key).isNotNull()).dropDuplicates([key]).join(kept, key, "left_semi")
-    return whole.unionByName(docs.where(F.col(key).isNull()))
+    """One row of the smallest key of each component; rows with a null key are kept.
+
+    Rows that share a key but lie in different components are kept apart; of several rows of the smallest key in one
+    component the one of the smallest row hash stays.
+    """
+    marked = docs.withColumn("_row", row_id(key, text))
+    named = marked.withColumn("_named", F.struct(F.col(key).alias("key"), F.col("_row").alias("row")))
+    prints = fingerprints(named, SHINGLE, "_named", text).select("_named.key", "_named.row", "fp")
+    found = grouped(written(prints, "simhash-fingerprints"), "key")
+    kept = found.where("key = component_id").groupBy("root").agg(F.min("row").alias("_row")).select("_row")
+    keyed = marked.where(F.col(key).isNotNull()).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return keyed.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fold, map_texts, table, written
+from .common import arrow_schema, fold, map_texts, row_id, table, written
 from .registry import query
 
 # Insults in four languages.
@@ -250,15 +250,8 @@ def prior_classifier(voters: Voters) -> WordClassifier:
     return WordClassifier({}, votes, -3.0)
 
 
-def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic"
-) -> DataFrame:
-    """(key, held_out, score, predicted) per row of ``docs``.
-
-    Only the text enters a score: null and empty texts score as texts in which no voter fires. A null key is held out.
-    Repeated rows score alike. Without a labelled row of each class outside the held-out fold, the lexicon alone
-    decides.
-    """
+def classified(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, name: str) -> DataFrame:
+    """(name, score, predicted) per row of ``docs``, learnt by ``key``; ``name`` is the column that names a row."""
     sample = labelled_sample(docs, labels, key, text, label)
     words = [words_in(t) for t, _ in sample]
     marks = np.array([y for _, y in sample], np.int64)
@@ -283,7 +276,19 @@ def toxicity_scores(
 
         return one
 
-    scored = map_texts(docs, make, "score double, predicted int", key, text)
+    return map_texts(docs, make, "score double, predicted int", name, text)
+
+
+def toxicity_scores(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic"
+) -> DataFrame:
+    """(key, held_out, score, predicted) per row of ``docs``.
+
+    Only the text enters a score: null and empty texts score as texts in which no voter fires. A null key is held out.
+    Repeated rows score alike. Without a labelled row of each class outside the held-out fold, the lexicon alone
+    decides.
+    """
+    scored = classified(docs, labels, key, text, label, key)
     return scored.select(key, (fold(F.col(key)) == 0).alias("held_out"), "score", "predicted")
 
 
@@ -292,7 +297,8 @@ def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key has no row predicted toxic; null keys are judged together as one key."""
-    bad = toxicity_scores(docs, labels, key).where("predicted = 1").select(F.col(key).alias("bad_key")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["bad_key"]), "left_anti")
+def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic; each row is judged by its own text, whatever its key."""
+    marked = docs.withColumn("_row", row_id(key, text))
+    bad = classified(marked, labels, key, text, "toxic", "_row").where("predicted = 1").select("_row").distinct()
+    return marked.join(bad, "_row", "left_anti").select(*docs.columns)

@@ -66,6 +66,13 @@ def test_one_document_of_each_group_stays(spark):
     assert keys.count(2) == 0 and keys.count(None) == 1
 
 
+def test_rows_that_share_a_key_stay_apart(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one, "en"), (5, two, "en"), (6, two, "en"), (5, one, "en"), (7, one, "en")]
+    kept = simhash.keep_one(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(5, one), (5, two)]
+
+
 def test_lyndon_grouping_sorts_suffixes():
     rng = random.Random(3)
     for _ in range(800):

@@ -38,6 +38,19 @@ def test_contaminated_rows_go(spark):
     )
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    """A contaminated or toxic row takes no other row of its key with it."""
+    items = spark.createDataFrame([("b", PASSAGE)], "item_id string, text string")
+    bad = PASSAGE + " you idiot"
+    rows = [(None, bad, "en"), (None, "clean one", "en"), (5, bad, "en"), (5, "clean two", "en"), (6, None, "en"), (6, bad, "en"), (6, bad, "en")]
+    docs = documents(spark, rows)
+    expected = [(None, "clean one"), (5, "clean two"), (6, None)]
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    for kept in (decontaminate.without_contaminated(docs, items), toxicity.without_toxic(docs, labels)):
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_fm_index_finds_every_occurrence():
     rng = np.random.default_rng(4)
     text = np.concatenate([[0], *(np.append(rng.integers(1, 4, 50), 0) for _ in range(20))])
