@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked fingerprints."""
+    """The document of the smallest id of each group of linked fingerprints: three-word shingles, at most 2 bits apart."""
     return keep_one(docs)
 
 
