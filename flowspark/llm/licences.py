@@ -1,7 +1,7 @@
 """Licence detection by sparse TF-IDF cosine to templates, inherited from the nearest ancestor directory.
 
-All of it is DataFrame operations. A file's header and marked lines, or the whole text of a licence file, become term
-weights; each is compared with every template by joining on terms, of which the templates have a bounded number. A
+All of it is DataFrame operations. A file's marked lines, joined, become one vector of term weights, for licence files
+too; headers and whole licence texts are not compared on their own, as in the SQL twin. Each vector is compared with every template by joining on terms, of which the templates have a bounded number. A
 licence file's directory passes its licence to the files below it that have none of their own: a file's ancestor
 directories are joined to licensed directories by path, and the deepest match counts.
 """
