@@ -32,7 +32,7 @@ LENGTH, GRAM, REACH = 200, 16, 128
 #: Bytes from an anchor on that all of its windows share.
 SHARED = LENGTH - REACH + 1
 #: Bytes of text that are hashed at once; stretches in a shard, on average; places from which an anchor counts as hot.
-SLICE, SHARD, HOT = 4 << 20, 4000, 50_000
+SLICE, SHARD, HOT = 1 << 20, 4000, 50_000
 #: Bytes in a symbol of a shard's text.
 SYMBOL = 16
 
