@@ -21,6 +21,7 @@ MODULES = (
     "token_files",
     "suffix_dedup",
     "licences",
+    "periods",
     "conversations",
 )
 
