@@ -23,6 +23,7 @@ MODULES = (
     "licences",
     "periods",
     "conversations",
+    "jaccard",
 )
 
 
