@@ -8,10 +8,10 @@ sets have the same shingles there. Each such choice of parts is a signature, so
 There are more groups than the pigeonhole needs. So a set may leave out signatures of fewer than ``WEAK`` shingles, which
 many sets share by chance, unless too many of its groups have one; then it keeps them all, and nothing is lost.
 
-Only distinct sets take part. Sets that share a signature are compared with the smallest of them, and linked ones
-united; what still lies in several components of a signature is compared in blocks of parity sketches, which never lie
-above the true difference, and the pairs that a sketch allows are compared exactly. So no signature's members are
-paired with each other but those that may be linked and are not yet known to be.
+Only distinct sets take part. Sets that share a signature are compared with one of them, in later rounds with others,
+and linked ones united; what then still lies in several components of a signature is compared in blocks of parity
+sketches, which never lie above the true difference, and the pairs that a sketch allows are compared exactly. So no
+signature's members are paired with each other but those that are close and not yet known to be connected.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, hash_rows, table, written
@@ -35,11 +35,13 @@ from .registry import query
 
 SHINGLE, PERCENT = 4, 85
 #: Least number of shingles of a strong signature, and the number that layouts aim at.
-WEAK, WANTED = 2, 5.0
+WEAK, WANTED = 2, 4.0
 #: Ratio of a band's largest size to its smallest one.
 WIDTH = 1.4
 #: Words that are worked on at once; words that a worker knows by hash; sets of a signature that are compared at once.
 CHUNK_WORDS, KNOWN, BLOCK = 1 << 19, 400_000, 2048
+#: Rounds of comparisons with single members of a signature, and those that a set takes part in in a later round.
+ROUNDS, TRIES = 3, 8
 
 SALTS = tuple(np.uint64(s) for s in (0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99, 0xD1B54A32D192ED03))
 
@@ -61,7 +63,8 @@ class Layout(NamedTuple):
         return list(itertools.combinations(range(self.parts), self.parts - self.spare))
 
     def sketch_bytes(self) -> int:
-        return 1 << max(4, (self.k - 1).bit_length())
+        """Thirty-two bits or more for each possible difference, so that few of them fall together."""
+        return 1 << max(4, (4 * self.k - 1).bit_length())
 
 
 def most_different(a: int, b: int, percent: int) -> int:
@@ -360,18 +363,40 @@ def blocks(rows: DataFrame) -> DataFrame:
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
 
+def open_signatures(rooted: DataFrame) -> DataFrame:
+    """Rows (sig, node, root) of the signatures whose members lie in several components."""
+    mixed = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    return rooted.join(mixed, "sig")
+
+
+def tried(rooted: DataFrame, number: int) -> DataFrame:
+    """(a, b): members of open signatures, each with some signatures' members drawn by hash, of other components."""
+    order = F.xxhash64("sig", "node", F.lit(number))
+    drawn = rooted.groupBy("sig").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("a"), F.col("root").alias("r"))).alias("m"))
+    pairs = rooted.join(drawn, "sig").where("root <> m.r").select(F.col("m.a").alias("a"), "node").distinct()
+    window = Window.partitionBy("node").orderBy(F.xxhash64("a", F.lit(number)), "a")
+    pairs = pairs.withColumn("place", F.row_number().over(window)).where(F.col("place") <= TRIES)
+    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
 def links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links whose components are those of all linked pairs among rows (sig, node) of shared signatures."""
+    """(a, b): links whose components are those of all linked pairs among rows (sig, node) of shared signatures.
+
+    The rounds only save work: whatever they leave apart is compared afterwards, without exception.
+    """
     least = shared.groupBy("sig").agg(F.min("node").alias("a"))
-    stars = shared.join(least, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    first = written(verified(stars, sets, percent), "jaccard-links")
-    roots = written(components(first, "a", "b"), "jaccard-roots").select("node", "root")
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted, "jaccard-rooted")
-    mixed = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    open_rows = blocks(rooted.join(mixed, "sig")).join(sets.select("node", "n", "sketch"), "node")
+    pairs = shared.join(least, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    rooted, linked = shared.withColumn("root", F.col("node")), None
+    for number in range(ROUNDS):
+        more = verified(pairs, sets, percent)
+        linked = written(more if linked is None else linked.unionByName(more), "jaccard-links")
+        roots = written(components(linked, "a", "b"), "jaccard-roots").select("node", F.col("root").alias("least"))
+        rooted = rooted.join(roots, "node", "left").select("sig", "node", F.coalesce("least", "root").alias("root"))
+        rooted = written(open_signatures(rooted), "jaccard-rooted")
+        pairs = tried(rooted, number)
+    open_rows = blocks(rooted).join(sets.select("node", "n", "sketch"), "node")
     rest = written(allowed_pairs(open_rows, percent), "jaccard-pairs")
-    return first.unionByName(verified(rest, sets, percent))
+    return linked.unionByName(verified(rest, sets, percent))
 
 
 def shingle_classes(
@@ -393,18 +418,34 @@ def shingle_classes(
     met = written(met.where("low <> high").select("sig", "s1", "s2"), "jaccard-met")
     nodes = written(met.select("s1", "s2").distinct().withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     shared = written(met.join(nodes, ["s1", "s2"]).select("sig", "node").distinct(), "jaccard-shared")
-    wanted = sets.join(nodes, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(F.min("key").alias("key")).select("key").distinct()
+    # the rows of a set are counted and reduced to their smallest key before they meet anything
+    distinct = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
+    distinct = written(distinct, "jaccard-distinct")
+    wanted = distinct.join(nodes, ["s1", "s2"], "left_semi").select(F.col("least").alias("key")).distinct()
     compared = written(compared_sets(slim, wanted, nodes, size, percent), "jaccard-compared")
     reached = written(components(links(shared, compared, percent), "a", "b"), "jaccard-components").select("node", "root")
-    named = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("least"))
     # sets outside of every link stand for themselves
     linked = nodes.join(reached, "node").select("s1", "s2", "root")
-    named = written(named.join(linked, ["s1", "s2"], "left"), "jaccard-named")
+    named = written(distinct.join(linked, ["s1", "s2"], "left"), "jaccard-named")
     smallest = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    class_of = named.join(smallest, "root", "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"))
-    some = sets.where("n > 0").join(class_of, ["s1", "s2"]).select("key", "n", "component_id")
+    class_of = named.join(smallest, "root", "left").select(
+        "s1", "s2", F.coalesce("component_id", "least").alias("component_id"), "copies"
+    )
+    return with_classes(sets, written(class_of, "jaccard-classes")).select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id"
+    )
+
+
+def with_classes(sets: DataFrame, class_of: DataFrame) -> DataFrame:
+    """(key, n, component_id) of all rows; sets with a thousandth of the rows or more are joined by broadcast."""
+    total = class_of.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    frequent = F.col("copies") * 1000 > total
+    common = F.broadcast(class_of.where(frequent).select("s1", "s2", F.col("component_id").alias("common"), F.lit(True).alias("met")))
+    marked = sets.where("n > 0").select("key", "n", "s1", "s2").join(common, ["s1", "s2"], "left")
+    some = marked.where("met").select("key", "n", F.col("common").alias("component_id"))
+    rest = marked.where("met is null").join(class_of.where(~frequent), ["s1", "s2"]).select("key", "n", "component_id")
     none = sets.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
-    return some.unionByName(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(rest).unionByName(none)
 
 
 @query()
