@@ -8,10 +8,11 @@ sets have the same shingles there. Each such choice of parts is a signature, so
 There are more groups than the pigeonhole needs. So a set may leave out signatures of fewer than ``WEAK`` shingles, which
 many sets share by chance, unless too many of its groups have one; then it keeps them all, and nothing is lost.
 
-Only distinct sets take part. Sets that share a signature are compared with one of them, in later rounds with others,
-and linked ones united; what then still lies in several components of a signature is compared in blocks of parity
-sketches, which never lie above the true difference, and the pairs that a sketch allows are compared exactly. So no
-signature's members are paired with each other but those that are close and not yet known to be connected.
+Only distinct sets take part. Each is compared with the members that most of its signatures name first, and linked ones
+are united. What then still lies in several components of a signature is compared in blocks of parity sketches, which
+never lie above the true difference: first each set with its nearest ones, and after linked ones are united again, all
+pairs that a sketch allows are compared exactly. So no signature's members are paired with each other but those that
+are close and not yet known to be connected.
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ WEAK, WANTED = 2, 4.0
 #: Ratio of a band's largest size to its smallest one.
 WIDTH = 1.4
 #: Words that are worked on at once; words that a worker knows by hash; sets of a signature that are compared at once.
-CHUNK_WORDS, KNOWN, BLOCK = 1 << 19, 400_000, 2048
-#: Rounds of comparisons with single members of a signature, and those that a set takes part in in a later round.
-ROUNDS, TRIES = 3, 8
+CHUNK_WORDS, KNOWN, BLOCK = 1 << 18, 400_000, 2048
+#: Comparisons of a set with first members of its signatures, and with its nearest ones.
+FIRSTS, NEAREST = 2, 4
 
 SALTS = tuple(np.uint64(s) for s in (0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99, 0xD1B54A32D192ED03))
 
@@ -199,16 +200,18 @@ def signatures(values: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
     return which[order], signature[order]
 
 
-def chunks(texts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with up to ``CHUNK_WORDS`` words; a longer text stands alone."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        if held + len(t) > CHUNK_WORDS and i > start:
-            yield start, i
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(place, words) of texts in groups of up to ``CHUNK_WORDS`` words; a longer text stands alone."""
+    start, group, held = 0, [], 0
+    for i, text in enumerate(texts):
+        words = split(text.as_py())
+        if group and held + len(words) > CHUNK_WORDS:
+            yield start, group
+            start, group, held = i, [], 0
+        group.append(words)
+        held += len(words)
+    if group:
+        yield start, group
 
 
 def name_of(values: np.ndarray) -> tuple[int, int]:
@@ -229,22 +232,21 @@ def set_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
         for batch in batches:
-            words = [split(t.as_py()) for t in batch.column(1)]
-            for a, b in chunks(words):
-                values, sizes = shingle_sets(words[a:b], size)
+            for start, words in chunks(batch.column(1)):
+                values, sizes = shingle_sets(words, size)
                 ends = np.cumsum(sizes)
                 names = [name_of(values[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())]
-                new = np.zeros(b - a, bool)
+                new = np.zeros(len(words), bool)
                 for i, name in enumerate(names):
                     if name not in met:
                         met.add(name)
                         new[i] = True
                 which, signature = signatures(values[np.repeat(new, sizes)], sizes[new], percent)
-                counts = np.zeros(b - a, np.int64)
+                counts = np.zeros(len(words), np.int64)
                 counts[new] = np.bincount(which, minlength=int(new.sum()))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(signature.view(np.int64)))
-                columns = [batch.column(0).slice(a, b - a).cast(schema.field(0).type), pa.array(sizes)]
+                columns = [batch.column(0).slice(start, len(words)).cast(schema.field(0).type), pa.array(sizes)]
                 columns += [pa.array([n[i] for n in names], pa.int64()) for i in (0, 1)] + [lists.cast(schema.field(4).type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -264,9 +266,8 @@ def compared_sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, size: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [split(t.as_py()) for t in batch.column(0)]
-            for a, b in chunks(words):
-                values, sizes = shingle_sets(words[a:b], size)
+            for _, words in chunks(batch.column(0)):
+                values, sizes = shingle_sets(words, size)
                 forms = layouts(percent, 1 << (int(sizes.max(initial=0)) + 1).bit_length())
                 lows = [f.low for f in forms]
                 rows, at = [], 0
@@ -312,29 +313,43 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
-def allowed_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def allowed_pairs(rows: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
     """(a, b) of nodes in different components whose sketches allow a link; rows (sig, i, j, own, node, root, n, sketch).
 
     Rows of a signature and two blocks i and j stand together; ``own`` is a row's block, and rows of one block meet rows
-    of the other, or each other where i is j.
+    of the other, or each other where i is j. With ``nearest``, each node has no more than so many pairs, the closest.
     """
 
+    def joined(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "apart"])
+
     def bucket(i: int, j: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         size = min(len(r[4]) for r in rows)
         node, root, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
         bits = np.stack([folded(np.frombuffer(r[4], np.uint8), size) for r in rows]).view(np.uint64)
         own = np.array([r[0] for r in rows], np.int64)
-        right = np.flatnonzero(own == j)
-        for x in np.flatnonzero(own == i).tolist():
-            some = right[right > x] if i == j else right
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        ways = [(left, right)] if nearest is None or i == j else [(left, right), (right, left)]
+        for x, right in ((x, right) for one, right in ways for x in one.tolist()):
+            some = right[right > x] if i == j and nearest is None else right
             some = some[root[some] != root[x]]
             some = some[100 * np.minimum(n[some], n[x]) >= percent * np.maximum(n[some], n[x])]
             if len(some):
                 apart = np.bitwise_count(bits[some] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                some = some[apart <= (n[some] + n[x]) * (100 - percent) // (100 + percent)]
+                allowed = apart <= (n[some] + n[x]) * (100 - percent) // (100 + percent)
+                some, apart = some[allowed], apart[allowed]
+                if nearest is not None and len(some) > nearest:
+                    order = np.lexsort((node[some], apart))[:nearest]
+                    some, apart = some[order], apart[order]
             if len(some):
-                a, b = np.minimum(node[some], node[x]), np.maximum(node[some], node[x])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                out.append((np.full(len(some), node[x]), node[some], apart))
+                held += len(some)
+            if held >= 1 << 14:
+                yield joined(out)
+                out, held = [], 0
+        if out:
+            yield joined(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
@@ -350,7 +365,12 @@ def allowed_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     columns = ["sig", "i", "j", "own", "node", "root", "n", "sketch"]
     dealt = rows.select(*columns).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    pairs = dealt.mapInArrow(run, "a bigint, b bigint, apart bigint")
+    if nearest is not None:
+        pairs = pairs.distinct()
+        window = Window.partitionBy("a").orderBy("apart", "b")
+        pairs = pairs.withColumn("place", F.row_number().over(window)).where(F.col("place") <= nearest)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -369,33 +389,30 @@ def open_signatures(rooted: DataFrame) -> DataFrame:
     return rooted.join(mixed, "sig")
 
 
-def tried(rooted: DataFrame, number: int) -> DataFrame:
-    """(a, b): members of open signatures, each with some signatures' members drawn by hash, of other components."""
-    order = F.xxhash64("sig", "node", F.lit(number))
-    drawn = rooted.groupBy("sig").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("a"), F.col("root").alias("r"))).alias("m"))
-    pairs = rooted.join(drawn, "sig").where("root <> m.r").select(F.col("m.a").alias("a"), "node").distinct()
-    window = Window.partitionBy("node").orderBy(F.xxhash64("a", F.lit(number)), "a")
-    pairs = pairs.withColumn("place", F.row_number().over(window)).where(F.col("place") <= TRIES)
-    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
 def links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links whose components are those of all linked pairs among rows (sig, node) of shared signatures.
 
-    The rounds only save work: whatever they leave apart is compared afterwards, without exception.
+    The first two rounds only save work: whatever they leave apart is compared afterwards, without exception.
     """
-    least = shared.groupBy("sig").agg(F.min("node").alias("a"))
-    pairs = shared.join(least, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    rooted, linked = shared.withColumn("root", F.col("node")), None
-    for number in range(ROUNDS):
-        more = verified(pairs, sets, percent)
-        linked = written(more if linked is None else linked.unionByName(more), "jaccard-links")
+
+    def united(rooted: DataFrame, linked: DataFrame) -> DataFrame:
         roots = written(components(linked, "a", "b"), "jaccard-roots").select("node", F.col("root").alias("least"))
         rooted = rooted.join(roots, "node", "left").select("sig", "node", F.coalesce("least", "root").alias("root"))
-        rooted = written(open_signatures(rooted), "jaccard-rooted")
-        pairs = tried(rooted, number)
-    open_rows = blocks(rooted).join(sets.select("node", "n", "sketch"), "node")
-    rest = written(allowed_pairs(open_rows, percent), "jaccard-pairs")
+        return written(open_signatures(rooted), "jaccard-rooted")
+
+    def sketched(rooted: DataFrame) -> DataFrame:
+        return blocks(rooted).join(sets.select("node", "n", "sketch"), "node")
+
+    least = shared.groupBy("sig").agg(F.min("node").alias("a"))
+    first = shared.join(least, "sig").where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    window = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    first = first.withColumn("place", F.row_number().over(window)).where(F.col("place") <= FIRSTS).select("a", "b")
+    linked = written(verified(first, sets, percent), "jaccard-links")
+    rooted = united(shared.withColumn("root", F.col("node")), linked)
+    near = written(allowed_pairs(sketched(rooted), percent, NEAREST), "jaccard-pairs")
+    linked = written(linked.unionByName(verified(near, sets, percent)), "jaccard-links")
+    rooted = united(rooted, linked)
+    rest = written(allowed_pairs(sketched(rooted), percent), "jaccard-pairs")
     return linked.unionByName(verified(rest, sets, percent))
 
 

@@ -94,10 +94,10 @@ def test_sketches_never_exceed_the_difference():
         assert np.array_equal(jaccard.folded(a, 16), np.frombuffer(jaccard.sketch(x, 16), np.uint8))
 
 
-@pytest.mark.parametrize("block, rounds", [(2048, 3), (2, 1)])
-def test_families_of_edited_texts(spark, monkeypatch, block, rounds):
+@pytest.mark.parametrize("block, nearest", [(2048, 4), (2, 1)])
+def test_families_of_edited_texts(spark, monkeypatch, block, nearest):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "NEAREST", nearest)
     rng = random.Random(block)
     rows = families(rng, 45, 30) + [(k + 200_000, t) for k, t in families(rng, 25, 160)]
     got = found(documents(spark, [(k, t, "en") for k, t in rows]))
