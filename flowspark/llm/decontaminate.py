@@ -4,8 +4,8 @@ Words of a shard's documents become symbols; a word that no test item has cannot
 separates. Runs long enough to hold a window are indexed, all windows are searched backwards at once through
 wavelet-tree ranks, occurrences are located by sampled suffix positions, and their spans are merged per document.
 
-The test items are a stated query set. They are taken in blocks of bounded size, each broadcast to one pass over the
-documents; results of several blocks are merged by document. Documents never move.
+The test items are a stated query set. They are taken in blocks of bounded size, each broadcast; every block gives each row
+its spans, which are united within the row. Documents never move, and no row is known by its key.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, merged_spans, row_id, table, written
+from .common import arrow_schema, free_name, merged_spans, table, written
 from .registry import query
 from .wavelet import FmIndex
 
@@ -129,28 +129,47 @@ def shard_hits(texts: list[str], phrases: Phrases) -> list[tuple[int, list[int],
 SPANS = "n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
 
 
-def search_block(docs: DataFrame, phrases: Phrases, key: str, text: str) -> DataFrame:
-    """(key, n_words, starts, ends, items) of each row for one block of items."""
-    spark = docs.sparkSession
+def block_hits(spark: SparkSession, phrases: Phrases, text: Column) -> Column:
+    """A struct (n_words, starts, ends, items) of a text for one block of items."""
     shared = spark.sparkContext.broadcast(phrases)
-    slim = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    full = f"{key} {slim.schema[key].dataType.simpleString()}, {SPANS}"
-    schema = arrow_schema(spark, full)
+    fields = list(arrow_schema(spark, SPANS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(f"struct<{SPANS.replace(' bigint', ':bigint').replace(' array', ':array')}>")
+    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            start, size = 0, 0
+            texts, found, start, size = batch.to_pylist(), [], 0, 0
             for i, t in enumerate(texts, 1):
                 size += len(t) // 2 + 1  # a word and its separator have two bytes at least
                 if size >= SHARD_SYMBOLS or i == len(texts):
-                    hits = shard_hits(texts[start:i], shared.value)
-                    arrays = [ids.slice(start, i - start).cast(schema.field(0).type)]
-                    arrays += [pa.array(list(c), schema.field(k + 1).type) for k, c in enumerate(zip(*hits))]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                    found += shard_hits(texts[start:i], shared.value)
                     start, size = i, 0
+            columns = list(zip(*found)) if found else [()] * len(fields)
+            yield pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields)], fields=fields)
+
+    return hits(text)
+
 
-    return slim.mapInArrow(run, full)
+def hit_column(
+    docs: DataFrame, items: DataFrame, text: str, item: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> Column:
+    """A struct (n_words, starts, ends, items) of each row's text: merged word spans that lie in an item's window."""
+    spark = docs.sparkSession
+    pieces = written(item_pieces(items, item, item_text, window), "benchmark")
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // BLOCK_WORDS))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    found = []
+    for b in range(blocks):
+        rows = dealt.where(F.col("block") == b).select("item", "words").collect()
+        found.append(block_hits(spark, Phrases([(r["item"], r["words"]) for r in rows], window), body))
+    if blocks == 1:
+        return found[0]
+    spans = _united(F.array_sort(F.flatten(F.array(*[F.arrays_zip(h["starts"], h["ends"]) for h in found]))))
+    names = F.array_sort(F.array_distinct(F.flatten(F.array(*[h["items"] for h in found]))))
+    return F.struct(
+        found[0]["n_words"].alias("n_words"), spans["starts"].alias("starts"), spans["ends"].alias("ends"), names.alias("items")
+    )
 
 
 def contamination(
@@ -166,37 +185,15 @@ def contamination(
 
     A window is ``window`` consecutive words of an item; an item with fewer words, but not none, is one window. Null
     texts have no words, a null item id counts as an empty name, repeated items count once, no items give no spans.
-    Keys should be unique if the items fill more than one block; equal keys are then merged.
+    Each row is judged on its own, whatever its key.
     """
-    spark = docs.sparkSession
-    pieces = written(item_pieces(items, item, item_text, window), "benchmark")
-    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-total // BLOCK_WORDS))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
-    found = []
-    for b in range(blocks):
-        rows = dealt.where(F.col("block") == b).select("item", "words").collect()
-        phrases = Phrases([(r["item"], r["words"]) for r in rows], window)
-        found.append(search_block(docs, phrases, key, text))
-    if blocks == 1:
-        return found[0]
-    together = found[0]
-    for other in found[1:]:
-        together = together.unionByName(other)
-    return (
-        together.groupBy(key)
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        .withColumn("spans", _united(F.array_sort("spans")))
-        .select(key, "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
-    )
+    name = free_name(docs, "hit")
+    found = docs.withColumn(name, hit_column(docs, items, text, item, item_text, window))
+    return found.select(F.col(f"`{key}`").alias(key), *[F.col(f"`{name}`.{c}") for c in ("n_words", "starts", "ends", "items")])
 
 
-def _united(spans):
-    """Sorted spans with touching and overlapping ones joined."""
+def _united(spans: Column) -> Column:
+    """Sorted spans (starts, ends) with touching and overlapping ones joined, as a struct of two arrays."""
     empty = F.array().cast("array<struct<starts:bigint,ends:bigint>>")
 
     def step(done, span):
@@ -206,17 +203,23 @@ def _united(spans):
         kept = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(touches, F.concat(kept, F.array(joined))).otherwise(F.concat(done, F.array(span)))
 
-    return F.aggregate(spans, empty, step)
+    done = F.aggregate(spans, empty, step)
+    return F.struct(done["starts"].alias("starts"), done["ends"].alias("ends"))
+
+
+def words_hit(starts: Column, ends: Column) -> Column:
+    return F.aggregate(F.zip_with(ends, starts, lambda e, s: e - s), F.lit(0).cast("bigint"), lambda total, n: total + n)
+
+
+def is_contaminated(n_words: Column, n_hit: Column) -> Column:
+    """Some word is hit, and at least a twentieth of all."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """Spans with their number of words and the verdict: some word hit, and at least a twentieth of all."""
-    hit = F.aggregate(
-        F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda total, n: total + n
-    )
-    return found.withColumn("n_hit", hit).withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    )
+    """Spans with their number of words and the verdict."""
+    found = found.withColumn("n_hit", words_hit(F.col("starts"), F.col("ends")))
+    return found.withColumn("contaminated", is_contaminated(F.col("n_words"), F.col("n_hit")))
 
 
 @query()
@@ -233,7 +236,8 @@ def op5_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated; each row is judged by its own text, whatever its key."""
-    marked = docs.withColumn("_row", row_id(key, text))
-    bad = judged(contamination(marked, items, "_row", text)).where("contaminated").select("_row").distinct()
-    return marked.join(bad, "_row", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated; each row is judged by its own text, in a narrow pass."""
+    name = free_name(docs, "hit")
+    hit = F.col(f"`{name}`")
+    found = docs.withColumn(name, hit_column(docs, items, text))
+    return found.where(~is_contaminated(hit["n_words"], words_hit(hit["starts"], hit["ends"]))).select(*docs.columns)
