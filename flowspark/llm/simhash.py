@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, row_id, table, written
+from .common import free_name, map_texts, row_id, table, written
 from .components import components
 from .registry import query
 
@@ -305,12 +305,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """One row of the smallest key of each component; rows with a null key are kept.
 
     Rows that share a key but lie in different components are kept apart; of several rows of the smallest key in one
-    component the one of the smallest row hash stays.
+    component the one of the smallest hash of key and text stays, of several of those the one of the smallest hash of all
+    columns.
     """
-    marked = docs.withColumn("_row", row_id(key, text))
-    named = marked.withColumn("_named", F.struct(F.col(key).alias("key"), F.col("_row").alias("row")))
-    prints = fingerprints(named, SHINGLE, "_named", text).select("_named.key", "_named.row", "fp")
+    row, named = free_name(docs, "row"), free_name(docs, "named")
+    marked = docs.withColumn(row, row_id(key, text))
+    pair = F.struct(F.col(f"`{key}`").alias("key"), F.col(row).alias("row"))
+    prints = fingerprints(marked.withColumn(named, pair), SHINGLE, named, text).select(f"{named}.key", f"{named}.row", "fp")
     found = grouped(written(prints, "simhash-fingerprints"), "key")
-    kept = found.where("key = component_id").groupBy("root").agg(F.min("row").alias("_row")).select("_row")
-    keyed = marked.where(F.col(key).isNotNull()).join(kept, "_row", "left_semi").dropDuplicates(["_row"])
-    return keyed.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    kept = found.where("key = component_id").groupBy("root").agg(F.min("row").alias(row)).select(row)
+    # rows of one key and text may differ in other columns: the one of the least hash over all of them stays
+    first = Window.partitionBy(row).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    keyed = marked.where(F.col(f"`{key}`").isNotNull()).join(kept, row, "left_semi")
+    place = free_name(marked, "place")
+    keyed = keyed.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return keyed.select(*docs.columns).unionByName(docs.where(F.col(f"`{key}`").isNull()))
