@@ -27,7 +27,9 @@ from .registry import query
 
 END, VOCABULARY = 0, 1 << 16
 #: Ids in a block, and pretokens that a worker keeps.
-BLOCK_IDS, CACHED = 1 << 20, 400_000
+BLOCK_IDS, CACHED = 1 << 20, 200_000
+#: Bytes of a row's ids that ranges of equal keys are cut by.
+RANGE_BYTES = 64
 MAGIC = b"FRVB"
 
 WORDS = r" ?{L}+|'(?:s|t|re|ve|m|ll|d)| ?{N}+| ?{O}+|{S}+(?!{T})|{S}+"
@@ -57,7 +59,9 @@ class Pretokens:
         )
         self.near = re.compile(near)
         self.symbols = dict(enumerate(byte_symbols()))
+        # words met last, and those met before them: frequent words never have to be learnt again
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 16-bit integers."""
@@ -77,14 +81,16 @@ class Pretokens:
     def learn(self, words: list[str]) -> dict[str, bytes] | None:
         new = list({w: None for w in words if w not in self.known})
         if len(self.known) + len(new) > CACHED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             new = list(dict.fromkeys(words))
         # the library's own BPE of one pretoken: no threads to wait for, no offsets
-        bpe, symbols = self.library.model, self.symbols
+        bpe, symbols, older = self.library.model, self.symbols, self.older
         found = {}
         for w in new:
-            ids = [t.id for t in bpe.tokenize(w.encode("utf-8").decode("latin-1").translate(symbols))]
-            found[w] = np.array(ids, "<u2").tobytes()
+            ids = older.get(w)
+            if ids is None:
+                ids = np.array([t.id for t in bpe.tokenize(w.encode("utf-8").decode("latin-1").translate(symbols))], "<u2").tobytes()
+            found[w] = ids
         if len(found) > CACHED:  # one text with more pretokens than are kept
             return found
         self.known.update(found)
@@ -165,7 +171,7 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-BLOCK = "shard int, block int, local_start bigint, keys array<{0}>, body binary"
+BLOCK = "shard int, block int, local_start bigint, n_ids bigint, keys array<{0}>, body binary"
 
 
 def block_body(sizes: list[int], ranks: np.ndarray) -> bytes:
@@ -201,7 +207,7 @@ def write_token_files(packed: DataFrame, ranks: np.ndarray, folder: str, key: st
 
         def flush():
             values = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-            columns = [[shard], [block], [total], [list(keys)], [block_body(sizes, values)]]
+            columns = [[shard], [block], [total], [len(values)], [list(keys)], [block_body(sizes, values)]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, schema.field(i).type) for i, c in enumerate(columns)], schema=schema
             )
@@ -220,9 +226,10 @@ def write_token_files(packed: DataFrame, ranks: np.ndarray, folder: str, key: st
         if keys:
             yield flush()
 
-    ordered = packed.select(key, "ids").repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(
-        F.col(key).asc_nulls_first(), "ids"
-    )
+    # rows of one key, null or not, are told apart by their first ids
+    ordered = packed.select(key, "ids").repartitionByRange(
+        F.col(key).asc_nulls_first(), F.substring("ids", 1, RANGE_BYTES)
+    ).sortWithinPartitions(F.col(key).asc_nulls_first(), "ids")
     ordered.mapInArrow(run, BLOCK.format(kind)).write.option("compression", "none").parquet(folder)
 
 
@@ -279,13 +286,12 @@ def token_files(
     Null texts count as empty and have the end id alone; repeated rows are written each; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    packed = written(packed_texts(docs, path, key, text), "token-ids")
+    packed = written(packed_texts(docs, path, key, text), "token-ids", compression="zstd")
     ranks = ranks_by_frequency(packed)
     write_token_files(packed, ranks, folder, key)
     rows = read_token_files(spark, folder, ranks, key)
-    # the ids that a file holds: start and number of its last document
-    last = rows.groupBy("shard").agg(F.max(F.col("local") + F.col("n_tokens")).alias("n")).collect()
-    return with_starts(rows, {r["shard"]: r["n"] for r in last}), ranks
+    held = spark.read.parquet(folder).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
+    return with_starts(rows, {r["shard"]: r["n"] for r in held}), ranks
 
 
 @query()
