@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fold, map_texts, row_id, table, written
+from .common import arrow_schema, fold, free_name, table, written
 from .registry import query
 
 # Insults in four languages.
@@ -32,6 +32,7 @@ SAMPLE = 8_000
 #: Mined voters, and words of the classifier, at most; documents of the sample a word must stand in.
 MINED, WORDS, LEAST = 160, 2_000, 5
 EM_ROUNDS, PASSES, RIDGE = 12, 150, 1.0
+UNIT = 1 << 30
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PATTERNS = {
@@ -163,8 +164,8 @@ def fit_label_model(votes: DataFrame, model: LabelModel) -> LabelModel:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> list[tuple[str, int]]:
-    """(text, label) of at most ``SAMPLE`` labelled rows outside the held-out fold, chosen by a hash of the key.
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """(k, t, y, words) of at most ``SAMPLE`` labelled rows outside the held-out fold, chosen by a hash of the key.
 
     Labels beside a null or with other values than 0 and 1 are left out; of several labels of a key the largest counts.
     """
@@ -176,22 +177,38 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
         .limit(SAMPLE)
     )
     slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    rows = slim.join(F.broadcast(known), "k").groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y"))
-    return [(r["t"], r["y"]) for r in rows.orderBy("k").collect()]
+    rows = slim.join(F.broadcast(known), "k").groupBy("k").agg(F.min("t").alias("t"), F.max("y").cast("int").alias("y"))
 
+    @F.arrow_udf("array<string>")
+    def distinct_words(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(words_in(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-def mined_words(texts: list[set[str]], labels: np.ndarray) -> list[str]:
+    return written(rows.withColumn("words", distinct_words("t")), "toxic-sample")
+
+
+def mined_words(sample: DataFrame, clean_rows: int, toxic_rows: int) -> list[str]:
     """Words that stand in toxic rows far more often than in others, the strongest first, ties by the word."""
-    seen: dict[str, list[int]] = {}
-    for words, y in zip(texts, labels.tolist()):
-        for w in words:
-            seen.setdefault(w, [0, 0])[y] += 1
-    n = np.array([max(1, (labels == 0).sum()), max(1, (labels == 1).sum())])
-    strong = []
-    for w, (clean, toxic) in seen.items():
-        if toxic >= LEAST and toxic / (toxic + clean) >= 0.7:
-            strong.append((-toxic / n[1] + clean / n[0], w))
-    return [w for _, w in sorted(strong)[:MINED]]
+    counts = sample.select("y", F.explode("words").alias("w")).groupBy("w").agg(
+        F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic")
+    )
+    strong = counts.where((F.col("toxic") >= LEAST) & (F.col("toxic") / (F.col("toxic") + F.col("clean")) >= 0.7))
+    weak = F.col("clean") / max(1, clean_rows) - F.col("toxic") / max(1, toxic_rows)
+    return [r["w"] for r in strong.select(weak.alias("o"), "w").orderBy("o", "w").limit(MINED).collect()]
+
+
+def telling_words(sample: DataFrame, targets: list[tuple], mean: float) -> list[str]:
+    """Words whose presence tells the posterior classes apart, the strongest first, ties by the word.
+
+    ``targets`` are (key, posterior in units of 2**-30), so that their sums are exact in any order.
+    """
+    kind = sample.schema["k"].dataType.simpleString()
+    target = sample.sparkSession.createDataFrame(targets, f"k {kind}, target bigint")
+    each = sample.join(F.broadcast(target), "k").select("target", F.explode("words").alias("w"))
+    counts = each.groupBy("w").agg(F.count("*").alias("have"), (F.sum("target") / float(UNIT)).alias("bad"))
+    spread = F.sqrt(F.col("have") * mean * (1 - mean) + 1e-9)
+    z = F.abs(F.col("bad") - F.col("have") * mean) / spread
+    found = counts.where(F.col("have") >= LEAST).select((-z).alias("o"), "w").where("o <= -4")
+    return [r["w"] for r in found.orderBy("o", "w").limit(WORDS).collect()]
 
 
 class WordClassifier:
@@ -206,27 +223,13 @@ class WordClassifier:
         return float(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
 
 
-def fit_classifier(texts: list[set[str]], fired: list[list[int]], target: np.ndarray, voters: int) -> WordClassifier:
-    """Fitted to posterior labels by gradient steps, on words whose presence tells the classes apart."""
-    n, toxic = len(texts), max(target.sum(), 1e-9)
-    seen: dict[str, list[float]] = {}
-    for words, y in zip(texts, target.tolist()):
-        for w in words:
-            s = seen.setdefault(w, [0.0, 0.0])
-            s[0] += 1
-            s[1] += y
-    mean = toxic / max(n, 1)
-    telling = []
-    for w, (have, bad) in seen.items():
-        if have >= LEAST:
-            z = abs(bad - have * mean) / np.sqrt(have * mean * (1 - mean) + 1e-9)
-            if z >= 4:
-                telling.append((-z, w))
-    names = [w for _, w in sorted(telling)[:WORDS]]
-    place = {w: voters + i for i, w in enumerate(names)}
+def fit_classifier(names: list[str], present: list[list[int]], fired: list[list[int]], target: np.ndarray, voters: int) -> WordClassifier:
+    """Fitted to posterior labels by gradient steps; ``present`` are the places in ``names`` of each row's words."""
+    n = len(fired)
+    mean = max(target.sum(), 1e-9) / max(n, 1)
     rows, columns = [], []
-    for i, (words, votes) in enumerate(zip(texts, fired)):
-        mine = votes + [place[w] for w in sorted(words & place.keys())]
+    for i, (words, votes) in enumerate(zip(present, fired)):
+        mine = votes + [voters + w for w in words]
         rows += [i] * len(mine)
         columns += mine
     r, c = np.array(rows, np.int64), np.array(columns, np.int64)
@@ -250,33 +253,55 @@ def prior_classifier(voters: Voters) -> WordClassifier:
     return WordClassifier({}, votes, -3.0)
 
 
-def classified(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, name: str) -> DataFrame:
-    """(name, score, predicted) per row of ``docs``, learnt by ``key``; ``name`` is the column that names a row."""
+def learnt_classifier(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[Voters, WordClassifier]:
+    """Of the sampled rows, only keys, votes and the places of chosen words come to the driver."""
     sample = labelled_sample(docs, labels, key, text, label)
-    words = [words_in(t) for t, _ in sample]
-    marks = np.array([y for _, y in sample], np.int64)
-    if len(set(marks.tolist())) < 2:
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         voters = Voters([])
-        classifier = prior_classifier(voters)
-    else:
-        voters = Voters(mined_words(words, marks))
-        learnt = docs.where(fold(F.col(key)) != 0)
-        votes = written(vote_table(learnt, voters, key, text), "toxic-votes")
-        fired = [voters.fired(t, w) for (t, _), w in zip(sample, words)]
-        matrix = vote_matrix(fired, len(voters.names))
-        model = fit_label_model(votes, LabelModel(matrix, marks))
-        target = model.posterior(matrix)
-        classifier = fit_classifier(words, fired, target, len(voters.names))
-
-    def make():
-        def one(t: str):
+        return voters, prior_classifier(voters)
+    voters = Voters(mined_words(sample, sizes[0], sizes[1]))
+    votes = written(vote_table(docs.where(fold(F.col(key)) != 0), voters, key, text), "toxic-votes")
+
+    @F.arrow_udf("array<int>")
+    def fires(texts: pa.Array, words: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), words.to_pylist())
+        return pa.array([voters.fired(t, set(w)) for t, w in rows], pa.list_(pa.int32()))
+
+    rows = sample.select("k", "y", fires("t", "words").alias("fired")).orderBy("k").collect()
+    fired, marks = [r["fired"] for r in rows], np.array([r["y"] for r in rows], np.int64)
+    matrix = vote_matrix(fired, len(voters.names))
+    model = fit_label_model(votes, LabelModel(matrix, marks))
+    target = model.posterior(matrix)
+    units = np.rint(target * UNIT).astype(np.int64).tolist()
+    names = telling_words(sample, [(r["k"], u) for r, u in zip(rows, units)], max(target.sum(), 1e-9) / len(rows))
+    place = {w: i for i, w in enumerate(names)}
+
+    @F.arrow_udf("array<int>")
+    def present(words: pa.Array) -> pa.Array:
+        return pa.array([[place[w] for w in row if w in place] for row in words.to_pylist()], pa.list_(pa.int32()))
+
+    held = sample.select("k", present("words").alias("p")).orderBy("k").collect()
+    return voters, fit_classifier(names, [r["p"] for r in held], fired, target, len(voters.names))
+
+
+def score_column(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> Column:
+    """A struct (score, predicted) of each row's text, learnt by ``key``."""
+    voters, classifier = learnt_classifier(docs, labels, key, text, label)
+    shared = docs.sparkSession.sparkContext.broadcast((voters, classifier))
+    kind = pa.struct([("score", pa.float64()), ("predicted", pa.int32())])
+
+    @F.arrow_udf("struct<score:double,predicted:int>")
+    def scored(texts: pa.Array) -> pa.Array:
+        voters, classifier = shared.value
+        out = []
+        for t in texts.to_pylist():
             found = words_in(t)
             p = classifier.score(found, voters.fired(t, found))
-            return p, int(p >= 0.5)
+            out.append({"score": p, "predicted": int(p >= 0.5)})
+        return pa.array(out, kind)
 
-        return one
-
-    return map_texts(docs, make, "score double, predicted int", name, text)
+    return scored(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
 
 
 def toxicity_scores(
@@ -288,8 +313,11 @@ def toxicity_scores(
     Repeated rows score alike. Without a labelled row of each class outside the held-out fold, the lexicon alone
     decides.
     """
-    scored = classified(docs, labels, key, text, label, key)
-    return scored.select(key, (fold(F.col(key)) == 0).alias("held_out"), "score", "predicted")
+    name = free_name(docs, "scored")
+    scored = docs.withColumn(name, score_column(docs, labels, key, text, label))
+    return scored.select(
+        key, (fold(F.col(key)) == 0).alias("held_out"), F.col(name)["score"].alias("score"), F.col(name)["predicted"].alias("predicted")
+    )
 
 
 @query()
@@ -298,7 +326,5 @@ def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic; each row is judged by its own text, whatever its key."""
-    marked = docs.withColumn("_row", row_id(key, text))
-    bad = classified(marked, labels, key, text, "toxic", "_row").where("predicted = 1").select("_row").distinct()
-    return marked.join(bad, "_row", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not predicted toxic; each row is judged by its own text, in a narrow pass."""
+    return docs.where(score_column(docs, labels, key, text, "toxic")["predicted"] == 0)
