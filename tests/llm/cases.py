@@ -31,10 +31,12 @@ ROWS = [
 def documents(spark, rows=None):
     """Documents with extra columns whose names operators use inside."""
     rows = ROWS if rows is None else rows
-    extra = [(k, t, lang, "src", len(t or ""), 1, 2, "x", 3) for k, t, lang in rows]
+    own = ("row", "_row", "named", "hit", "scored", "place")
+    extra = [(k, t, lang, "src", len(t or ""), 1, 2, "x", 3, *(f"own {c}" for c in own)) for k, t, lang in rows]
     return spark.createDataFrame(
         extra,
-        "doc_id bigint, text string, lang string, source string, n_chars bigint, fp int, rid int, mentions string, block int",
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, fp int, rid int, mentions string, block int, "
+        + ", ".join(f"{c} string" for c in own),
     )
 
 

@@ -8,8 +8,9 @@ import pytest
 from cases import PASSAGE, ROWS, contamination, documents
 from compare import differences, duck
 
-from flowspark.llm import attention, decontaminate, licences, neighbours, surrogates, toxicity, transformer
+from flowspark.llm import attention, decontaminate, licences, neighbours, simhash, surrogates, toxicity, transformer
 from flowspark.llm.bpe import tokenizer_path
+from flowspark.llm.common import sha256_hex
 from flowspark.llm.wavelet import FmIndex
 
 ITEMS = [("b", PASSAGE), ("a", PASSAGE + " and more"), ("c", "short"), ("d", ""), ("e", None), ("a", PASSAGE), (None, "no key")]
@@ -17,18 +18,33 @@ ITEMS = [("b", PASSAGE), ("a", PASSAGE + " and more"), ("c", "short"), ("d", "")
 
 @pytest.mark.parametrize("block,piece", [(1_000_000, 4096), (20, 15)])
 def test_contamination(spark, monkeypatch, block, piece):
+    """Null and repeated ids too; the number of blocks changes nothing."""
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
     monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
-    rows = [r for i, r in enumerate(ROWS) if i != 2]
+    rows = [*ROWS, (None, PASSAGE, "en"), (None, None, "en"), (1, "clean words of a known id", "en")]
     items = spark.createDataFrame(ITEMS, "item_id string, text string")
     found = decontaminate.judged(decontaminate.contamination(documents(spark, rows), items)).collect()
-    expected = {str(k): contamination(t, [(n or "", x) for n, x in ITEMS])[:3] for k, t, _ in rows}
-    assert {str(r["doc_id"]): (r["n_words"], r["n_hit"], len(r["items"])) for r in found} == expected
+    got = [
+        (r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), sha256_hex(",".join(r["items"]).encode()), r["contaminated"])
+        for r in found
+    ]
+    expected = [(k, *contamination(t, [(n or "", x) for n, x in ITEMS])) for k, t, _ in rows]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
     assert decontaminate.contamination(documents(spark, []), items).count() == 0
     none = decontaminate.contamination(documents(spark), items.limit(0))
     assert none.count() == len(ROWS) and all(r["starts"] == [] for r in none.collect())
 
 
+def test_filters_leave_columns_of_any_name_alone(spark):
+    items = spark.createDataFrame([("b", PASSAGE)], "item_id string, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    docs = documents(spark)
+    for kept in (decontaminate.without_contaminated(docs, items), toxicity.without_toxic(docs, labels), simhash.keep_one(docs)):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in ("row", "_row", "named", "hit", "scored", "place"))
+
+
 def test_contaminated_rows_go(spark):
     items = spark.createDataFrame([("b", PASSAGE)], "item_id string, text string")
     kept = decontaminate.without_contaminated(documents(spark), items)
