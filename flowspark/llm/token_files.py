@@ -11,8 +11,9 @@ the key, so a hot source or text does not matter; a document larger than a block
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -59,42 +60,44 @@ class Pretokens:
         )
         self.near = re.compile(near)
         self.symbols = dict(enumerate(byte_symbols()))
-        # words met last, and those met before them: frequent words never have to be learnt again
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Known(self.ids_of)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 16-bit integers."""
-        out = []
+        out, known = [], self.known
+        known.turn()
         for i, piece in enumerate(self.borders.split(text) if self.borders else [text]):
             if i % 2:
                 out.append(self.special[piece])
-                continue
-            words = (self.any if BEYOND.search(piece) else self.near).findall(piece)
-            try:
-                out += list(map(self.known.__getitem__, words))
-            except KeyError:
-                own = self.learn(words)
-                out += [own[w] for w in words] if own else map(self.known.__getitem__, words)
+            else:
+                words = (self.any if BEYOND.search(piece) else self.near).findall(piece)
+                out += map(known.__getitem__, words)
         return b"".join(out)
 
-    def learn(self, words: list[str]) -> dict[str, bytes] | None:
-        new = list({w: None for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHED:
-            self.older, self.known = self.known, {}
-            new = list(dict.fromkeys(words))
-        # the library's own BPE of one pretoken: no threads to wait for, no offsets
-        bpe, symbols, older = self.library.model, self.symbols, self.older
-        found = {}
-        for w in new:
-            ids = older.get(w)
-            if ids is None:
-                ids = np.array([t.id for t in bpe.tokenize(w.encode("utf-8").decode("latin-1").translate(symbols))], "<u2").tobytes()
-            found[w] = ids
-        if len(found) > CACHED:  # one text with more pretokens than are kept
-            return found
-        self.known.update(found)
-        return None
+    def ids_of(self, word: str) -> bytes:
+        """The library's own BPE of one pretoken: no threads to wait for, no offsets."""
+        ids = [t.id for t in self.library.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.symbols))]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+
+class Known(dict):
+    """Pretokens met last, and below them those met before: most rare words come once, frequent ones stay known."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn, self.older = learn, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        """Before a text: at most ``CACHED`` pretokens and those of one text are kept, twice."""
+        if len(self) > CACHED:
+            self.older = dict(self)
+            self.clear()
 
 
 @lru_cache(maxsize=2)
@@ -129,8 +132,9 @@ def ranks_by_frequency(packed: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=VOCABULARY)
+            for start in range(0, batch.num_rows, 256):
+                some = b"".join(batch.column(0).slice(start, 256).to_pylist())
+                counts += np.bincount(np.frombuffer(some, "<u2"), minlength=VOCABULARY)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["id", "n"])
 
@@ -233,15 +237,16 @@ def write_token_files(packed: DataFrame, ranks: np.ndarray, folder: str, key: st
     ordered.mapInArrow(run, BLOCK.format(kind)).write.option("compression", "none").parquet(folder)
 
 
-def read_token_files(spark: SparkSession, folder: str, ranks: np.ndarray, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids_crc32, ids) of every document in the files; ``start`` counts all ids before it.
-
-    The number of ids before a file is the sum over earlier files, of which there is one row per file.
+def read_token_files(
+    spark: SparkSession, folder: str, ranks: np.ndarray, key: str = "doc_id", with_ids: bool = True
+) -> DataFrame:
+    """(key, shard, local, n_tokens, ids_crc32, ids) of every document in the files; ``local`` counts the ids before it
+    in its file. Without ``with_ids`` they are decoded all the same, but only their checksum is returned.
     """
     blocks = spark.read.parquet(folder)
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
     ids_of = np.argsort(ranks).astype("<u4")
-    full = f"{key} {kind}, shard int, local bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>"
+    full = f"{key} {kind}, shard int, local bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     schema = arrow_schema(spark, full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,18 +257,17 @@ def read_token_files(spark: SparkSession, folder: str, ranks: np.ndarray, key: s
                 ends = np.cumsum(sizes)
                 begins = ends - sizes
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys.values.cast(schema.field(0).type),
-                        pa.array(np.full(len(sizes), shard.as_py(), np.int32)),
-                        pa.array(begins + start.as_py()),
-                        pa.array(sizes),
-                        pa.array(crcs, pa.int64()),
-                        pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))).cast(schema.field(5).type),
-                    ],
-                    schema=schema,
-                )
+                columns = [
+                    keys.values.cast(schema.field(0).type),
+                    pa.array(np.full(len(sizes), shard.as_py(), np.int32)),
+                    pa.array(begins + start.as_py()),
+                    pa.array(sizes),
+                    pa.array(crcs, pa.int64()),
+                ]
+                if with_ids:
+                    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))).cast(schema.field(5).type))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = blocks.select("shard", "local_start", "keys", "body").mapInArrow(run, full)
     return rows
@@ -279,7 +283,7 @@ def with_starts(rows: DataFrame, totals: dict[int, int]) -> DataFrame:
 
 
 def token_files(
-    docs: DataFrame, path: str, folder: str, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, path: str, folder: str, key: str = "doc_id", text: str = "text", with_ids: bool = True
 ) -> tuple[DataFrame, np.ndarray]:
     """Write the ids of ``docs`` below ``folder`` and return the documents read back, and the ranks of the ids.
 
@@ -289,7 +293,7 @@ def token_files(
     packed = written(packed_texts(docs, path, key, text), "token-ids", compression="zstd")
     ranks = ranks_by_frequency(packed)
     write_token_files(packed, ranks, folder, key)
-    rows = read_token_files(spark, folder, ranks, key)
+    rows = read_token_files(spark, folder, ranks, key, with_ids)
     held = spark.read.parquet(folder).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
     return with_starts(rows, {r["shard"]: r["n"] for r in held}), ranks
 
@@ -299,5 +303,5 @@ def op8_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowspark.session import work_path
 
     docs = table(spark, sf_dir, "documents")
-    rows, _ = token_files(docs, tokenizer_path("byte_bpe_50k.json"), work_path(spark, "token-files"))
+    rows, _ = token_files(docs, tokenizer_path("byte_bpe_50k.json"), work_path(spark, "token-files"), with_ids=False)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
