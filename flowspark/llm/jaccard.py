@@ -42,7 +42,7 @@ WIDTH = 1.4
 #: Words that are worked on at once; words that a worker knows by hash; sets of a signature that are compared at once.
 CHUNK_WORDS, KNOWN, BLOCK = 1 << 18, 400_000, 2048
 #: Comparisons of a set with first members of its signatures, and with its nearest ones.
-FIRSTS, NEAREST = 2, 4
+FIRSTS, NEAREST = 1, 3
 
 SALTS = tuple(np.uint64(s) for s in (0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99, 0xD1B54A32D192ED03))
 
@@ -64,8 +64,8 @@ class Layout(NamedTuple):
         return list(itertools.combinations(range(self.parts), self.parts - self.spare))
 
     def sketch_bytes(self) -> int:
-        """Thirty-two bits or more for each possible difference, so that few of them fall together."""
-        return 1 << max(4, (4 * self.k - 1).bit_length())
+        """Sixteen bits or more for each possible difference, so that few of them fall together."""
+        return 1 << max(4, (2 * self.k - 1).bit_length())
 
 
 def most_different(a: int, b: int, percent: int) -> int:
@@ -445,9 +445,9 @@ def shingle_classes(
     linked = nodes.join(reached, "node").select("s1", "s2", "root")
     named = written(distinct.join(linked, ["s1", "s2"], "left"), "jaccard-named")
     smallest = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    class_of = named.join(smallest, "root", "left").select(
-        "s1", "s2", F.coalesce("component_id", "least").alias("component_id"), "copies"
-    )
+    class_of = named.where("root is not null").join(smallest, "root").select("s1", "s2", "component_id", "copies")
+    alone = named.where("root is null").select("s1", "s2", F.col("least").alias("component_id"), "copies")
+    class_of = class_of.unionByName(alone)
     return with_classes(sets, written(class_of, "jaccard-classes")).select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id"
     )
