@@ -146,7 +146,7 @@ def training_job_run(spark, sf_dir):
 
 @query(
     flows_sql(
-        "SELECT TRUE AS stage_two_loaded, FALSE AS stage_one_loaded, 25 AS feature_count, "
+        "SELECT TRUE AS stage_two_loaded, TRUE AS stage_one_loaded, 25 AS feature_count, "
         "string_agg(DISTINCT anomaly_type, ',' ORDER BY anomaly_type) AS classes FROM flows"
     )
 )

@@ -186,6 +186,81 @@ def mixed_csv_folder(spark, sf_dir):
     return _mixed_folder(spark, sf_dir, "csv")
 
 
+def _renamed(spark, folder, names):
+    """Give a folder's part files other names, in the order of their present ones."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(f.getPath().getName() for f in store.listStatus(path(folder)) if f.getPath().getName().startswith("part-"))
+    for file, name in zip(files, names, strict=True):
+        store.rename(path(f"{folder}/{file}"), path(f"{folder}/{name}"))
+
+
+def _part(spark, folder, rows, fmt, name):
+    """``rows`` as one more file of a folder."""
+    rows.coalesce(1).write.mode("append").option("header", fmt == "csv").format(fmt).save(folder)
+    _renamed(spark, folder, [name])
+
+
+_CODE = "lpad(CAST(o_orderkey AS STRING), 9, '0')"
+
+
+@query(
+    f"""SELECT 'row' AS kind, {_CODE} AS code, o_orderkey % 7 AS small, CASE WHEN o_orderkey % 3 = 0 THEN '+' || CAST(o_custkey AS STRING)
+  ELSE CAST(o_custkey AS STRING) END AS phone, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS price,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 = 0 END AS flag,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'even.csv' ELSE 'odd.csv' END AS file_name FROM orders
+UNION ALL SELECT 'skipped', NULL, NULL, NULL, NULL, NULL, unnest(['a0.csv.gz', 'z9.csv.gz'])"""
+)
+def coded_csv_folder(spark, sf_dir):
+    """Text codes of CSV files, by value; a file that cannot be unpacked before and after them is named."""
+    folder = work_path(spark, "coded-csv")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    code = F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("code")
+    phone = F.when(F.expr("o_orderkey % 3 = 0"), F.concat(F.lit("+"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    slim = orders.select("o_orderkey", code, F.expr("o_orderkey % 7 AS small"), phone.alias("phone"), F.col("o_totalprice").alias("price"))
+    odd = slim.where("o_orderkey % 2 <> 0").select("code", "small", "phone")
+    even = slim.where("o_orderkey % 2 = 0").select("phone", F.expr("o_orderkey % 4 = 0 AS flag"), "price", "small", "code")
+    broken = orders.select(F.col("o_orderstatus").alias("value")).limit(3)
+    _part(spark, folder, odd, "csv", "odd.csv")
+    _part(spark, folder, even, "csv", "even.csv")
+    for name in ("a0.csv.gz", "z9.csv.gz"):
+        _part(spark, folder, broken, "text", name)
+    found = tables.read_directory(spark, folder, "*.csv*", fmt="csv")
+    rows = found.rows.select(
+        F.lit("row").alias("kind"), "code", F.col("small").cast("bigint").alias("small"), "phone", "price", "flag",
+        F.col(tables.FILE_COLUMN).alias("file_name"),
+    )
+    skipped = [(p.rsplit("/", 1)[-1],) for p, _ in found.skipped]
+    names = spark.createDataFrame(skipped, "file_name string").select(F.lit("skipped").alias("kind"), "file_name")
+    return rows.unionByName(names, allowMissingColumns=True)
+
+
+@query(
+    """SELECT 'row' AS kind, CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'spoofing' ELSE 'normal' END AS anomaly_type,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'spoof.parquet' ELSE 'benign.parquet' END AS file_name FROM orders
+UNION ALL SELECT 'skipped', NULL, NULL, NULL, NULL, unnest(['a0.parquet', 'z9.parquet'])"""
+)
+def damaged_parquet_folder(spark, sf_dir):
+    """Labelled rows of Parquet files of other types, by value; the first and the last file are no Parquet files."""
+    folder = work_path(spark, "damaged-parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    odd = orders.where("o_orderkey % 2 <> 0").select("o_orderkey", "o_custkey")
+    even = orders.where("o_orderkey % 2 = 0").select("o_orderstatus", (F.col("o_custkey") + F.lit(0.0)).alias("o_custkey"), "o_orderkey")
+    _part(spark, folder, odd, "parquet", "benign.parquet")
+    _part(spark, folder, even, "parquet", "spoof.parquet")
+    broken = orders.select(F.col("o_orderstatus").alias("value")).limit(3)
+    for name in ("a0.parquet", "z9.parquet"):
+        _part(spark, folder, broken, "text", name)
+    found = tables.read_directory(spark, folder, "*.parquet")
+    rows = tables.with_labels(found.rows.withColumnRenamed(tables.FILE_COLUMN, "file_name"), "file_name").select(
+        F.lit("row").alias("kind"), F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_custkey", "o_orderstatus", S.TARGET, "file_name"
+    )
+    skipped = [(p.rsplit("/", 1)[-1],) for p, _ in found.skipped]
+    names = spark.createDataFrame(skipped, "file_name string").select(F.lit("skipped").alias("kind"), "file_name")
+    return rows.unionByName(names, allowMissingColumns=True)
+
+
 @query(
     flows_sql(
         f"""SELECT f AS file_name, anomaly_type AS label, count(*) AS original_count,

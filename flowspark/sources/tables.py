@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,6 +13,7 @@ from pyspark.errors import AnalysisException
 from .. import schema as S
 from ..functions import scalars
 from ..operators import evaluate, profile
+from . import discovery, typed_csv
 
 FORMAT_BY_EXTENSION = {"parquet": "parquet", "csv": "csv", "json": "json"}
 WRITABLE = ("parquet", "csv")
@@ -33,18 +33,21 @@ def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None):
     if fmt == "csv":
         # the header is checked against a given schema instead of trusting positions
         reader = reader.option("header", True).option("enforceSchema", False)
-        if schema is None:
-            reader = reader.option("inferSchema", True)
     if fmt == "json":
         reader = reader.option("multiLine", True)
     return reader
 
 
 def load_table(spark: SparkSession, path: str, fmt: str = "auto", schema: T.StructType | None = None) -> DataFrame:
-    """One file or table. JSON may be an array document or one object per file line."""
+    """One file or table. JSON may be an array document or one object per file line.
+
+    Without a schema the columns of a CSV file are typed by their values; codes such as 007 stay text.
+    """
     fmt = detect_format(path) if fmt == "auto" else fmt
     if fmt not in FORMAT_BY_EXTENSION.values():
         raise ValueError(f"unsupported format: {fmt}")
+    if fmt == "csv" and schema is None:
+        return typed_csv.read_csv(spark, path)
     return _reader(spark, fmt, schema).load(path)
 
 
@@ -90,45 +93,58 @@ def _common_type(kinds: list[T.DataType]) -> T.DataType:
     return T.DoubleType() if all(isinstance(k, T.NumericType) for k in kinds) else T.StringType()
 
 
+def _typed(spark: SparkSession, fmt: str, groups: list[list[str]], schema: T.StructType | None) -> list[tuple[DataFrame, dict]]:
+    """A frame for each group, and the types that its columns shall have over all groups.
+
+    CSV columns are read as text and typed by the values of all files, or by the given schema.
+    """
+    if fmt != "csv":
+        frames = [_reader(spark, fmt, None).load(members) for members in groups]
+    else:
+        frames = [typed_csv.as_text(spark, members) for members in groups]
+    if schema is not None:
+        wanted = {f.name: f.dataType for f in schema.fields}
+    else:
+        names = list(dict.fromkeys(c for f in frames for c in f.columns))
+        if fmt == "csv":
+            kinds = dict.fromkeys(names, 0)
+            for frame in frames:
+                for name, kind in typed_csv.kinds(frame, frame.columns).items():
+                    kinds[name] |= kind
+            wanted = {n: typed_csv.type_of(k) for n, k in kinds.items()}
+        else:
+            wanted = {n: _common_type([f.schema[n].dataType for f in frames if n in f.columns]) for n in names}
+    return [(frame, wanted) for frame in frames]
+
+
 def read_directory(
-    spark: SparkSession, path: str, pattern: str = "*.parquet", schema: T.StructType | None = None
+    spark: SparkSession, path: str, pattern: str = "*.parquet", schema: T.StructType | None = None, fmt: str = "auto"
 ) -> Folder:
     """All files of a folder that match ``pattern``, whatever their columns and types.
 
-    Files of one schema or header share a reader, and the readers' rows are united by name: an absent column is NULL,
-    columns of different numeric types become bigint or double, others text. A file that cannot be opened is
-    skipped and named. An error if nothing matches or nothing can be read.
+    Footers and headers are looked at by tasks. Files of one schema or header share a reader, and the readers' rows are
+    united by name: an absent column is NULL, columns of different numeric types become bigint or double, others text.
+    CSV columns are typed by their values in all files, so text codes keep their zeros. A file that cannot be opened is
+    skipped and named; one of no bytes is passed over. An error if nothing matches or nothing can be read.
     """
-    fmt = detect_format(pattern)
+    fmt = detect_format(pattern) if fmt == "auto" else fmt
     files = list_files(spark, path, pattern)
     if not files:
         raise ValueError(f"no file matches {pattern} in {path}")
-    with ThreadPoolExecutor(16) as pool:
-        schemas = list(pool.map(lambda f: _file_schema(spark, fmt, f), files))
-    skipped = [(f, reason) for f, (found, reason) in zip(files, schemas) if found is None]
-    groups: dict[str, list[str]] = {}
-    for file, (found, _) in zip(files, schemas):
-        if found is not None:
-            groups.setdefault(found.json(), []).append(file)
+    groups, skipped = discovery.alike(spark, fmt, files, lambda file: _file_schema(spark, fmt, file))
     if not groups:
         raise ValueError(f"no readable file matches {pattern} in {path}: {skipped[0][1]}")
-    frames = []
-    for _, members in sorted(groups.items()):
-        frame = _reader(spark, fmt, None).load(members)
-        frames.append(frame.select("*", F.col("_metadata.file_name").alias(FILE_COLUMN)))
-    if schema is not None:
-        kinds = {f.name: f.dataType for f in schema.fields}
-        names = list(kinds)
-    else:
-        names = list(dict.fromkeys(c for f in frames for c in f.columns if c != FILE_COLUMN))
-        kinds = {n: _common_type([f.schema[n].dataType for f in frames if n in f.columns]) for n in names}
     # the name in the metadata is percent-encoded; a plus sign stands for itself
-    decoded = F.url_decode(F.replace(F.col(FILE_COLUMN), F.lit("+"), F.lit("%2B"))).alias(FILE_COLUMN)
-    widened = [
-        f.select(*[(F.col(f"`{n}`") if n in f.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names], decoded)
-        for f in frames
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias(FILE_COLUMN)
+    convert = typed_csv.converted if fmt == "csv" else lambda column, kind: column.cast(kind)
+    rows = [
+        frame.select(
+            *[convert(F.col(f"`{n}`"), t).alias(n) if n in frame.columns else F.lit(None).cast(t).alias(n) for n, t in wanted.items()],
+            name,
+        )
+        for frame, wanted in _typed(spark, fmt, groups, schema)
     ]
-    return Folder(union_by_name(widened), skipped)
+    return Folder(union_by_name(rows), skipped)
 
 
 def load_directory(

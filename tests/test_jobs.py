@@ -3,6 +3,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.functions import ordering, stats
 from flowspark import fixtures, session
@@ -10,7 +11,7 @@ from flowspark import schema as S
 from flowspark.operators import models
 from flowspark.operators.models import TreeSettings
 from flowspark.plans import dataset, prediction, training
-from flowspark.sources import tables
+from flowspark.sources import discovery, tables
 from flowspark.sources.models import Detector, latest_model, register_model, training_runs
 from flowspark.streaming import scoring
 
@@ -73,6 +74,53 @@ def test_files_that_differ(spark, tmp_path):
     assert [p.rsplit("/", 1)[-1] for p, _ in found.skipped] == ["a0.parquet", "z9.parquet"] and all(r for _, r in found.skipped)
 
 
+@pytest.mark.parametrize("by_task", [True, False])
+def test_codes_and_damage_of_csv_files(spark, tmp_path, monkeypatch, by_task):
+    """Text stays as it was written; tasks and Spark's own reader group the files alike."""
+    import gzip
+
+    monkeypatch.setattr(discovery, "reachable", lambda path: by_task)
+    (tmp_path / "a.csv").write_text("zip,n,when,big,ok,x\n00123,7,2024-01-02,12345678901234567890,true,1\n,-8,,1,FALSE,.5\n")
+    (tmp_path / "b.csv").write_text('x,zip,n,"a, b"\n-2e3,99,3000000000,"q ""z"""\nNaN,7, ,\n')
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"zip,n,when,big,ok,x\n+4,7,2024-01-02 03:04:05,2,true,Infinity\n"))
+    (tmp_path / "d.csv.gz").write_bytes(b"no gzip at all")
+    (tmp_path / "e.csv").write_text("")  # no bytes, no rows: passed over
+    found = tables.read_directory(spark, str(tmp_path), "*.csv*", fmt="csv")
+    types = dict(found.rows.dtypes)
+    assert types["zip"] == types["n"] == types["big"] == types["a, b"] == "string"  # a blank is no number
+    assert types["when"] == "timestamp" and types["ok"] == "boolean" and types["x"] == "double"
+    rows = found.rows.select("zip", "n", "big", "ok", "x", tables.FILE_COLUMN).collect()
+    assert {r["zip"] for r in rows} == {"00123", None, "99", "7", "+4"}
+    assert {r["big"] for r in rows} == {"12345678901234567890", "1", "2", None}
+    assert {str(r["x"]) for r in rows} == {"1.0", "0.5", "-2000.0", "nan", "inf"}
+    assert [p.rsplit("/", 1)[-1] for p, _ in found.skipped] == ["d.csv.gz"] and found.skipped[0][1]
+    given = T.StructType.fromDDL("zip string, n bigint, missing double")
+    typed = tables.read_directory(spark, str(tmp_path), "[abc].csv*", given).rows
+    assert sorted((r["zip"] or "", r["n"] or 0, r["missing"]) for r in typed.collect()) == [
+        ("", -8, None), ("+4", 7, None), ("00123", 7, None), ("7", 0, None), ("99", 3000000000, None),
+    ]
+
+
+def test_values_of_one_csv_file(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b,c,d,e\n1,1,007,2024-02-30,\n2,3000000000,8,2024-01-01,\n")
+    got = tables.load_table(spark, str(tmp_path / "t.csv"))
+    assert got.dtypes == [("a", "int"), ("b", "bigint"), ("c", "string"), ("d", "string"), ("e", "string")]
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "007", "2024-02-30", None), (2, 3000000000, "8", "2024-01-01", None)]
+
+
+def test_kinds_come_from_tasks(spark, tmp_path, monkeypatch):
+    """Spark reads one schema per kind of file, not per file."""
+    asked = []
+    real = tables._file_schema
+    monkeypatch.setattr(tables, "_file_schema", lambda *a: asked.append(a) or real(*a))
+    monkeypatch.setattr(discovery, "FILES_PER_TASK", 2)
+    for i in range(7):
+        (tmp_path / f"f{i}.csv").write_text(f"k,v{i % 2}\n{i},{i}\n")
+    assert tables.load_directory(spark, str(tmp_path), "*.csv").count() == 7
+    groups, skipped = discovery.alike(spark, "csv", tables.list_files(spark, str(tmp_path), "*.csv"), None)
+    assert [len(g) for g in groups] == [4, 3] and not skipped and not asked
+
+
 def test_decimal_quantiles_on_both_paths(spark):
     df = spark.range(101).selectExpr("cast(id / 10 as decimal(10,2)) as d")
     small = stats.quantiles(df, {"d": [0.25, 0.505]})
