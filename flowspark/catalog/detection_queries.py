@@ -212,6 +212,18 @@ def align_predictions(spark, sf_dir):
     return evaluate.with_correctness(aligned, "anomaly_type").select("flow_id", "anomaly_type", "label", "is_correct")
 
 
+@query(scored_sql("SELECT flow_id, true_label, label, label = true_label AS is_correct FROM detected"))
+def align_by_position(spark, sf_dir):
+    """Truth and predictions stored apart without a common key, in files of other sizes but in the same order."""
+    truth, found = work_path(spark, "truth"), work_path(spark, "predictions")
+    flows = fixtures.flows(spark, sf_dir).select("flow_id", F.col(S.TARGET).alias("true_label"))
+    flows.repartitionByRange(5, "flow_id").sortWithinPartitions("flow_id").write.parquet(truth)
+    detected = _detected(spark, sf_dir).repartitionByRange(3, "flow_id").sortWithinPartitions("flow_id")
+    detected.select("label").write.parquet(found)
+    aligned = evaluate.align_by_position(tables.load_with_position(spark, truth), tables.load_with_position(spark, found))
+    return evaluate.with_correctness(aligned).select("flow_id", "true_label", "label", "is_correct")
+
+
 @query(scored_sql("SELECT flow_id, true_label, label, confidence FROM detected WHERE label <> true_label"))
 def error_rows(spark, sf_dir):
     return evaluate.error_rows(_detected(spark, sf_dir)).select("flow_id", "true_label", "label", "confidence")

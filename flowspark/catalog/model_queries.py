@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .. import fixtures
 from .. import schema as S
-from ..functions import stats
+from ..functions import scalars, stats
 from ..operators import detect, features, models
 from ..operators.models import TreeSettings
-from ..plans import prediction, training
+from ..plans import dataset, prediction, training
 from ..session import work_path
-from ..sources.models import Detector, latest_model, register_model, training_runs
+from ..sources.models import Detector, ModelRegistry, latest_model, register_model, training_runs
 from ..sources import tables
 from ..streaming import scoring
 from .feature_queries import PREPROCESS_CTES, PREPROCESSED
+from .quality_queries import REASONS
 from .registry import query, rounded
 from .sql import flows_sql, scored_sql
 
@@ -160,13 +163,58 @@ def model_info(spark, sf_dir):
     return info.withColumn("classes", F.array_join("classes", ","))
 
 
-@query()
+@query(flows_sql("SELECT count(*) AS total_samples, TRUE AS equals_the_written_rows, TRUE AS in_order FROM flows"))
 def predict_table(spark, sf_dir):
-    """Summary of a scoring job over a stored table."""
-    data = work_path(spark, "flows") + ".parquet"
+    """Summary of a scoring job over a stored table, against the rows that it wrote."""
+    data, output = work_path(spark, "flows") + ".parquet", work_path(spark, "predictions")
     tables.save_table(fixtures.flows(spark, sf_dir), data)
     detector = _training(spark, sf_dir).detector
-    return prediction.prediction_job(spark, detector, data, work_path(spark, "predictions"))
+    summary = prediction.prediction_job(spark, detector, data, output)
+    again = detect.detection_summary(spark.read.parquet(output), "predicted_label")
+    same = F.lit(summary.exceptAll(again).count() == 0)
+    counts = [F.col(c) for c in ("confirmed_anomalies", "predicted_anomalies", "total_samples")]
+    return summary.select("total_samples", same.alias("equals_the_written_rows"), ((counts[0] <= counts[1]) & (counts[1] <= counts[2])).alias("in_order"))
+
+
+_STRATEGY_ROWS = """SELECT strategy, 1 AS versions, CAST(sum(CASE strategy WHEN 'undersample' THEN least ELSE n - test_rows END) AS BIGINT) AS train_rows,
+  CAST(sum(test_rows) AS BIGINT) AS test_rows, TRUE AS metrics_in_range, TRUE AS recorded_model_is_newest, CAST(sum(test_rows) AS BIGINT) AS scored_by_winner
+FROM (SELECT *, min(n - test_rows) OVER () AS least FROM (SELECT n, (n * 200000 + 500000) // 1000000 AS test_rows
+  FROM (SELECT anomaly_type, count(*) AS n FROM flows GROUP BY 1) t) u) v, (SELECT unnest(['original', 'undersample']) AS strategy) s GROUP BY 1"""
+
+
+@query(flows_sql(_STRATEGY_ROWS))
+def train_strategies(spark, sf_dir):
+    """Detectors of two strategies, each a version; an interrupted save is none; the winner is loaded and scores the test rows."""
+    path, runs = work_path(spark, "strategies"), work_path(spark, "runs")
+    raw = fixtures.raw_flows(spark, sf_dir)
+    labelled = raw.withColumn(S.TARGET, scalars.class_name("label")).drop("label")
+    written = dataset.build_dataset(labelled, "flow_id", f"{path}/original")
+    dataset.balance_dataset(written, "flow_id", path, ("undersample",))
+    sets = {"original": written, "undersample": spark.read.parquet(f"{path}/undersample/data")}
+    training.compare_strategies(sets, "flow_id", runs, settings=TreeSettings(trees=20, depth=6), registry=f"{path}/registry")
+    registry = ModelRegistry(spark, f"{path}/registry")
+    name, best = registry.best("f1_macro")
+    winner = Detector.load(spark, best)
+    registry.store("original", winner)  # written, but never committed
+    scored = winner.score(written.filter("split = 'test'"))
+    newest = registry.versions().groupBy(F.col("name").alias("strategy")).agg(
+        F.max("version").alias("versions"), F.max_by("path", "version").alias("newest")
+    )
+    sound = [F.col(f"{s}{m}").between(0.0, 1.0) for s in ("", "train_") for m in ("accuracy", "precision", "recall", "f1")]
+    return (
+        training_runs(spark, runs)
+        .join(newest, "strategy")
+        .crossJoin(scored.agg(F.count("label").alias("scored_by_winner")))  # one row
+        .select(
+            "strategy",
+            "versions",
+            "train_rows",
+            "test_rows",
+            reduce(lambda a, b: a & b, sound).alias("metrics_in_range"),
+            (F.col("model") == F.col("newest")).alias("recorded_model_is_newest"),
+            "scored_by_winner",
+        )
+    )
 
 
 # --- streams ------------------------------------------------------------------------------
@@ -198,6 +246,31 @@ def stream_score(spark, sf_dir):
     return rounded(scored.select("flow_id", "prediction", "label", "confidence", "detection_path"))
 
 
+@query(
+    scored_sql(
+        f"""SELECT flow_id, CASE WHEN reasons = '' THEN 'scored' ELSE 'quarantined' END AS place, nullif(reasons, '') AS reasons,
+  CASE WHEN reasons = '' THEN label END AS label, CASE WHEN reasons = '' THEN confidence END AS confidence
+FROM (SELECT detected.flow_id, label, confidence, concat_ws(',', {REASONS}) AS reasons FROM flows JOIN detected ON detected.flow_id = flows.flow_id) t"""
+    )
+)
+def stream_quarantine(spark, sf_dir):
+    """Every flow of the stream, scored or set aside with its reasons; the first batch is run twice."""
+    stored = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    fixed = fixtures.scored_probabilities(spark, sf_dir).select("flow_id", "probabilities", "stage1_prediction")
+    output, aside, place = (work_path(spark, name) for name in ("stream", "quarantine", "stream-state"))
+
+    def score(batch):
+        return detect.two_stage_detection(batch.join(fixed, "flow_id"))
+
+    for state in (work_path(spark, "lost-state"), place):  # without the first run's state all is done again
+        orders = scoring.read_flow_stream(spark, sf_dir, stored.schema, pattern="orders.parquet")
+        flows = fixtures.flows_from(orders, spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+        scoring.score_and_quarantine(flows, score, output, aside, state).awaitTermination()
+    scored = spark.read.parquet(output).select("flow_id", F.lit("scored").alias("place"), "label", "confidence")
+    broken = spark.read.parquet(aside).select("flow_id", F.lit("quarantined").alias("place"), F.array_join("reasons", ",").alias("reasons"))
+    return scored.unionByName(broken, allowMissingColumns=True)
+
+
 @query(
     scored_sql(
         """SELECT count(*) AS total_samples, count(*) FILTER (WHERE label <> 'normal') AS predicted_anomalies,

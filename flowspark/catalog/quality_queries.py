@@ -31,7 +31,7 @@ def flow_validation(spark, sf_dir):
 
 
 _REQUIRED = list(S.REQUIRED_FIELDS)
-_REASONS = ", ".join(
+REASONS = ", ".join(
     [f"CASE WHEN {c} IS NULL THEN 'missing:{c}' END" for c in _REQUIRED]
     + [f"CASE WHEN {c} NOT BETWEEN 0 AND 65535 THEN 'range:{c}' END" for c in S.PORT_COLUMNS]
 )
@@ -39,8 +39,8 @@ _REASONS = ", ".join(
 
 @query(
     flows_sql(
-        f"SELECT flow_id, concat_ws(',', {_REASONS}) AS reasons FROM flows "
-        f"WHERE concat_ws(',', {_REASONS}) <> ''"
+        f"SELECT flow_id, concat_ws(',', {REASONS}) AS reasons FROM flows "
+        f"WHERE concat_ws(',', {REASONS}) <> ''"
     )
 )
 def flow_quarantine(spark, sf_dir):
@@ -51,7 +51,7 @@ def flow_quarantine(spark, sf_dir):
 @query(
     flows_sql(
         f"SELECT anomaly_type, count(*) AS rows, CAST(sum(total_bytes) AS BIGINT) AS total_bytes FROM flows "
-        f"WHERE concat_ws(',', {_REASONS}) = '' GROUP BY anomaly_type"
+        f"WHERE concat_ws(',', {REASONS}) = '' GROUP BY anomaly_type"
     )
 )
 def flow_contract_valid(spark, sf_dir):

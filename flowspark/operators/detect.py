@@ -84,14 +84,23 @@ def detection_summary(df: DataFrame, label: str = "label", confidence: str = "co
     ``predicted_anomalies`` counts every label but normal, also those that need
     review; ``confirmed_anomalies`` counts attack classes only.
     """
+    return df.agg(*summary_columns(label, confidence))
+
+
+def summary_columns(label: str = "label", confidence: str = "confidence") -> list[Column]:
+    """The aggregates of ``detection_summary``, which a write can observe as well."""
     special = list(S.CODE_LABELS.values())
-    return df.agg(
-        F.count("*").alias("total_samples"),
-        F.count_if(F.col(label) != S.NORMAL).alias("predicted_anomalies"),
-        F.count_if(~F.col(label).isin(S.NORMAL, *special)).alias("confirmed_anomalies"),
-        F.count_if(F.col(confidence) > S.HIGH_CONFIDENCE).alias("high_confidence"),
-        F.count_if(F.col(label) == S.CODE_LABELS[S.NEEDS_REVIEW]).alias("needs_review"),
-    )
+
+    def rows(condition: Column) -> Column:
+        return F.count(F.when(condition, 1))
+
+    return [
+        F.count(F.lit(1)).alias("total_samples"),
+        rows(F.col(label) != S.NORMAL).alias("predicted_anomalies"),
+        rows(~F.col(label).isin(S.NORMAL, *special)).alias("confirmed_anomalies"),
+        rows(F.col(confidence) > S.HIGH_CONFIDENCE).alias("high_confidence"),
+        rows(F.col(label) == S.CODE_LABELS[S.NEEDS_REVIEW]).alias("needs_review"),
+    ]
 
 
 def prediction_distribution(df: DataFrame, label: str = "label") -> DataFrame:

@@ -27,6 +27,15 @@ def align_predictions(truth: DataFrame, predictions: DataFrame, key: str) -> Dat
     return truth.join(predictions.select(key, *extra), key, "left")
 
 
+def align_by_position(truth: DataFrame, predictions: DataFrame, position: str = "position") -> DataFrame:
+    """Rows of ``truth`` with the columns of the row of ``predictions`` at the same position.
+
+    For stored tables that share no key, each read by ``tables.load_with_position``. A row beyond the end of
+    ``predictions`` is kept with NULLs; columns that both have are those of ``truth``.
+    """
+    return align_predictions(truth, predictions, position)
+
+
 def error_rows(df: DataFrame, truth: str = "true_label", predicted: str = "label") -> DataFrame:
     """Rows whose prediction differs from the truth."""
     return with_correctness(df, truth, predicted).filter(~F.col("is_correct"))
@@ -41,6 +50,12 @@ def error_types(df: DataFrame, truth: str = "true_label", predicted: str = "labe
     )
 
 
+def error_types_of(confusion: DataFrame) -> DataFrame:
+    """``error_types`` from a table of confusion counts."""
+    wrong = confusion.filter(~F.col("truth").eqNullSafe(F.col("predicted")))
+    return wrong.groupBy(error_type("truth", "predicted").alias("error_type")).agg(F.sum("rows").alias("rows"))
+
+
 def confusion_counts(df: DataFrame, truth: str = "true_label", predicted: str = "label") -> DataFrame:
     """(``truth``, ``predicted``, ``rows``), the base of every metric below."""
     return df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
@@ -89,7 +104,12 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
 
 def accuracy_metrics(df: DataFrame, truth: str = "true_label", predicted: str = "label") -> DataFrame:
     """One row: accuracy and macro and support-weighted precision, recall and F1."""
-    per_class = class_metrics(confusion_counts(df, truth, predicted))
+    return metrics_of(confusion_counts(df, truth, predicted))
+
+
+def metrics_of(confusion: DataFrame) -> DataFrame:
+    """``accuracy_metrics`` from a table of confusion counts."""
+    per_class = class_metrics(confusion)
 
     def weighted(c: str) -> Column:
         return F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0))
@@ -104,7 +124,12 @@ def accuracy_metrics(df: DataFrame, truth: str = "true_label", predicted: str =
 
 def classification_report(df: DataFrame, truth: str = "true_label", predicted: str = "label") -> DataFrame:
     """Per-class rows plus the ``macro avg`` and ``weighted avg`` rows."""
-    per_class = class_metrics(confusion_counts(df, truth, predicted)).drop("hits")
+    return report_of(confusion_counts(df, truth, predicted))
+
+
+def report_of(confusion: DataFrame) -> DataFrame:
+    """``classification_report`` from a table of confusion counts."""
+    per_class = class_metrics(confusion).drop("hits")
     names = ("precision", "recall", "f1")
     macro = per_class.agg(
         F.lit("macro avg").alias("label"), *[F.avg(c).alias(c) for c in names], F.sum("support").alias("support")
@@ -193,16 +218,25 @@ def best_strategy(runs: DataFrame) -> DataFrame:
 
 def evaluation_report(df: DataFrame, truth: str = "true_label", predicted: str = "label", confidence: str = "confidence") -> DataFrame:
     """One row of the figures that an evaluation run reports."""
+    return df.agg(*report_columns(truth, predicted, confidence))
+
+
+def report_columns(truth: str = "true_label", predicted: str = "label", confidence: str = "confidence") -> list[Column]:
+    """The aggregates of ``evaluation_report``, which a write can observe as well."""
     c = F.col(confidence)
     correct = F.col(truth).eqNullSafe(F.col(predicted))
-    return df.agg(
-        F.count("*").alias("total_samples"),
-        F.count_if(correct).alias("correct_predictions"),
+
+    def rows(condition: Column) -> Column:
+        return F.count(F.when(condition, 1))
+
+    return [
+        F.count(F.lit(1)).alias("total_samples"),
+        rows(correct).alias("correct_predictions"),
         F.avg(correct.cast("double")).alias("accuracy"),
-        F.count_if(F.col(predicted) != S.NORMAL).alias("predicted_anomalies"),
-        F.count_if(c > S.HIGH_CONFIDENCE).alias("high_confidence_predictions"),
-        F.count_if(F.col(predicted) == S.CODE_LABELS[S.NEEDS_REVIEW]).alias("needs_review"),
+        rows(F.col(predicted) != S.NORMAL).alias("predicted_anomalies"),
+        rows(c > S.HIGH_CONFIDENCE).alias("high_confidence_predictions"),
+        rows(F.col(predicted) == S.CODE_LABELS[S.NEEDS_REVIEW]).alias("needs_review"),
         F.avg(c).alias("average_confidence"),
         F.stddev_pop(c).alias("confidence_std"),
-        F.count_if(~correct).alias("error_count"),
-    )
+        rows(~correct).alias("error_count"),
+    ]

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -158,6 +158,17 @@ class StageTwo:
         return [s for s in self.model.stages if not isinstance(s, VectorAssembler)]
 
 
+def without_summary(model):
+    """A fitted forest without the summary of its training.
+
+    The summary holds the session and the training rows, and would travel with every task that scores; once the session
+    has observed a write it cannot even be serialised.
+    """
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
 def train_stage_two(
     df: DataFrame,
     features: list[str],
@@ -176,7 +187,7 @@ def train_stage_two(
     if learner == "forest":
         coded = data.withColumn("_code", class_code(target, classes))
         trainer = settings.forest().setLabelCol("_code").setFeaturesCol(VECTOR)
-        fitted = [(trainer.setWeightCol(weight) if weight else trainer).fit(coded)]
+        fitted = [without_summary((trainer.setWeightCol(weight) if weight else trainer).fit(coded))]
     else:
         fitted = []
         with stats.scratch(data) as kept:

@@ -35,6 +35,14 @@ def require_columns(df: DataFrame, required) -> DataFrame:
     return df
 
 
+def _bad_port(column: str, kind: T.DataType) -> Column:
+    """Whether a port is out of range, or text that is no number; NULL passes."""
+    if isinstance(kind, T.NumericType):
+        return ~F.col(column).between(0, S.MAX_PORT)
+    number = F.col(column).cast("string").try_cast("double")
+    return F.col(column).isNotNull() & ~F.coalesce(number.between(0, S.MAX_PORT), F.lit(False))
+
+
 def flow_violations(df: DataFrame, required=S.NETWORK_FEATURES) -> DataFrame:
     """Broken rules as (``rule``, ``column_name``, ``violations``), from one scan.
 
@@ -52,11 +60,7 @@ def flow_violations(df: DataFrame, required=S.NETWORK_FEATURES) -> DataFrame:
         for c in S.IP_COLUMNS
         if c in types
     }
-    checks |= {
-        ("invalid_port", c): F.count_if(~F.col(c).between(0, S.MAX_PORT))
-        for c in S.PORT_COLUMNS
-        if c in types and isinstance(types[c], T.NumericType)
-    }
+    checks |= {("invalid_port", c): F.count_if(_bad_port(c, types[c])) for c in S.PORT_COLUMNS if c in types}
     schema = "rule string, column_name string, violations bigint"
     faults = df.sparkSession.createDataFrame(schema_faults, schema)
     if not checks:
@@ -85,7 +89,7 @@ def contract_reasons(df: DataFrame) -> Column:
     checks = [
         (F.col(c).isNull() if c in present else F.lit(True), f"missing:{c}") for c in S.REQUIRED_FIELDS
     ]
-    checks += [(~F.col(c).between(0, S.MAX_PORT), f"range:{c}") for c in S.PORT_COLUMNS if c in present]
+    checks += [(_bad_port(c, df.schema[c].dataType), f"range:{c}") for c in S.PORT_COLUMNS if c in present]
     return F.array_compact(F.array(*[F.when(broken, F.lit(text)) for broken, text in checks]))
 
 

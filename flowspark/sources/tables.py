@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from .. import schema as S
 from ..functions import scalars
-from ..operators import evaluate, profile
+from ..operators import detect, evaluate, profile
 from . import discovery, typed_csv
 
 FORMAT_BY_EXTENSION = {"parquet": "parquet", "csv": "csv", "json": "json"}
@@ -51,6 +52,20 @@ def load_table(spark: SparkSession, path: str, fmt: str = "auto", schema: T.Stru
     return _reader(spark, fmt, schema).load(path)
 
 
+def load_with_position(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """A Parquet table with each row's place in it, from 0: files in the order of their names, rows in that of the file.
+
+    Places do not depend on how the table is split over tasks. Spark names the files of a write in the order of its
+    partitions, so a table that was written sorted is read in that order.
+    """
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # one row per file
+    sizes = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_file", before.alias("_start"))
+    return rows.join(starts, "_file").withColumn(position, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
 def load_json_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON with one object per line, which splits over tasks."""
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -215,17 +230,34 @@ def save_class_weights(df: DataFrame, path: str, target: str = S.TARGET) -> None
     save_report(profile.class_weights(df, target), path)
 
 
-def save_predictions(df: DataFrame, path: str) -> None:
-    """Processed rows with label, confidence and path of the detection."""
-    df.withColumnRenamed("label", "predicted_label").drop("prediction", "probabilities").write.mode(
-        "overwrite"
-    ).parquet(path)
+def observed(df: DataFrame, columns: list[Column], write: Callable[[DataFrame], None]) -> DataFrame:
+    """One row of aggregates over ``df``, taken while ``write`` writes it: the rows are evaluated and scanned once."""
+    seen = Observation()
+    write(df.observe(seen, *columns))
+    found = seen.get
+    names = df.limit(0).agg(*columns).schema
+    return df.sparkSession.createDataFrame([tuple(found[f.name] for f in names)], T.StructType([T.StructField(f.name, f.dataType) for f in names]))
+
+
+def save_predictions(df: DataFrame, path: str) -> DataFrame:
+    """Write processed rows with label, confidence and path of the detection; returns their detection summary."""
+    kept = df.withColumnRenamed("label", "predicted_label").drop("prediction", "probabilities")
+    summary = detect.summary_columns("predicted_label")
+    return observed(kept, summary, lambda rows: rows.write.mode("overwrite").parquet(path))
 
 
 def save_evaluation(df: DataFrame, path: str, truth: str = S.TARGET, predicted: str = "label") -> None:
-    """Rows with ``is_correct``, the report, the error types and the distribution."""
-    evaluate.with_correctness(df, truth, predicted).write.mode("overwrite").parquet(f"{path}/rows")
+    """Rows with ``is_correct``, the report, the error types and the class metrics.
+
+    The report is observed while the rows are written; the two others come from one table of confusion counts.
+    """
+    marked = evaluate.with_correctness(df, truth, predicted)
+    columns = evaluate.report_columns(truth, predicted)
+    report = observed(marked, columns, lambda rows: rows.write.mode("overwrite").parquet(f"{path}/rows"))
+    save_report(report, f"{path}/report")
     written = df.sparkSession.read.parquet(f"{path}/rows")
-    save_report(evaluate.evaluation_report(written, truth, predicted), f"{path}/report")
-    save_report(evaluate.error_types(written, truth, predicted), f"{path}/error_types")
-    save_report(evaluate.classification_report(written, truth, predicted), f"{path}/classes")
+    counted = evaluate.confusion_counts(written, truth, predicted)
+    # a row per pair of classes
+    confusion = df.sparkSession.createDataFrame(counted.collect(), counted.schema)
+    save_report(evaluate.error_types_of(confusion), f"{path}/error_types")
+    save_report(evaluate.report_of(confusion), f"{path}/classes")

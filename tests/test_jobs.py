@@ -8,11 +8,11 @@ from pyspark.sql import types as T
 from flowspark.functions import ordering, stats
 from flowspark import fixtures, session
 from flowspark import schema as S
-from flowspark.operators import models
+from flowspark.operators import detect, evaluate, models, quality
 from flowspark.operators.models import TreeSettings
 from flowspark.plans import dataset, prediction, training
 from flowspark.sources import discovery, tables
-from flowspark.sources.models import Detector, latest_model, register_model, training_runs
+from flowspark.sources.models import Detector, ModelRegistry, latest_model, register_model, training_runs
 from flowspark.streaming import scoring
 
 QUICK = TreeSettings(trees=4, depth=4)
@@ -179,11 +179,22 @@ def test_captures_to_balanced_datasets(spark, sf_dir, tmp_path):
     sizes = {tuple(r[:2]): r[2] for r in grown.groupBy("split", S.TARGET).agg(F.count("*")).collect()}
     assert {n for (s, _), n in sizes.items() if s == "train"} == {240} and sizes["test", "normal"] == 60
     under = spark.read.parquet(str(tmp_path / "balanced" / "undersample" / "data"))
-    winners, trained = training.compare_strategies(
-        {"smote": grown, "undersample": under}, "flow_id", str(tmp_path / "runs"), settings=QUICK
-    )
-    assert trained == {"smote": "trained", "undersample": "trained"}
+    registry, runs = str(tmp_path / "registry"), str(tmp_path / "runs")
+    sets = {"smote": grown, "undersample": under, "empty": under.limit(0)}
+    winners, trained = training.compare_strategies(sets, "flow_id", runs, settings=QUICK, registry=registry)
+    assert trained["smote"] == trained["undersample"] == "trained" and trained["empty"].startswith("failed")
     assert {r["metric"] for r in winners.collect()} == {"accuracy", "precision", "recall", "f1"}
+    kept = ModelRegistry(spark, registry)
+    assert {(r["name"], r["version"]) for r in kept.versions().collect()} == {("smote", 1), ("undersample", 1)}
+    best = winners.filter("metric = 'f1'").first()["best_strategy"]
+    assert kept.best("f1_macro")[0] == best
+    tested = kept.load(best).score(grown.filter("split = 'test'"))
+    assert tested.filter("label IS NOT NULL").count() == grown.filter("split = 'test'").count()
+    for run in training_runs(spark, runs).collect():
+        assert run["model"] == kept.path(run["strategy"]) and 0 <= run["train_f1"] <= 1
+        assert set(run["importance"]) == set(Detector.load(spark, run["model"]).stage_two.features)
+    with pytest.raises(ValueError, match="no strategy"):
+        training.compare_strategies({"empty": under.limit(0)}, "flow_id", runs, settings=QUICK)
 
 
 # --- models ------------------------------------------------------------------------------------
@@ -224,6 +235,93 @@ def test_registry(spark, tmp_path):
     assert latest_model(spark, registry, "missing") is None
 
 
+def test_versions(spark, trained, tmp_path, monkeypatch):
+    """A save that breaks off, before or while it commits, is never found; a repeated one is a version of its own."""
+    kept = ModelRegistry(spark, str(tmp_path / "kept"))
+    assert kept.versions().count() == 0 and kept.path("forest") is None and kept.best("f1") is None
+    with pytest.raises(ValueError):
+        kept.load("forest")
+    first = kept.save("forest", trained.detector, {"classes": trained.report}, {"f1": 0.5})
+    for broken in ("store", "commit"):
+        with monkeypatch.context() as patch:
+            target = Detector if broken == "store" else ModelRegistry
+            name = "save" if broken == "store" else "commit"
+            patch.setattr(target, name, lambda *a, **b: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                kept.save("forest", trained.detector, metrics={"f1": 0.9})
+        assert kept.path("forest") == first and kept.best("f1") == ("forest", first)
+    second = kept.save("forest", trained.detector, metrics={"f1": 0.4})
+    assert kept.path("forest") == second and kept.path("forest", 1) == first and kept.path("forest", 3) is None
+    assert kept.best("f1") == ("forest", second)  # the newest of a name counts
+    assert kept.load("forest", 1).stage_two.classes == trained.detector.stage_two.classes
+    assert spark.read.json(f"{first}/reports/classes").count() == trained.report.count()
+
+
+def test_training_on_a_given_split(spark, trained):
+    rows = spark.range(400).select(
+        "id", (F.col("id") % 7).cast("double").alias("x"), F.rand(3).alias("noise"),
+        F.when(F.col("id") % 7 < 3, "low").otherwise("high").alias(S.TARGET),
+        F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"),
+    )
+    found = training.train_on_split(rows, ["x", "noise"], settings=QUICK, with_stage_one=False)
+    assert found.rows == {"train": 320, "test": 80} and set(found.metrics) == {"train", "test"} and found.validation == {}
+    assert found.test["accuracy"] == 1.0 and found.importance.first()["feature"] == "x"
+    assert {tuple(r) for r in found.confusion.collect()} == {("low", "low", 34), ("high", "high", 46)}
+    with pytest.raises(ValueError, match="training"):
+        training.train_on_split(rows.filter("split = 'test'"), ["x"], settings=QUICK)
+    assert set(trained.metrics) == {"train", "validation", "test"}
+
+
+def test_positions(spark, tmp_path):
+    for name, parts, rows in (("a", 4, 50), ("b", 7, 45)):
+        frame = spark.range(rows).select((F.col("id") * 3).alias("n" if name == "a" else "m"))
+        frame.repartitionByRange(parts, frame.columns[0]).sortWithinPartitions(frame.columns[0]).write.parquet(str(tmp_path / name))
+    a, b = (tables.load_with_position(spark, str(tmp_path / n)) for n in "ab")
+    assert [r["n"] for r in a.orderBy("position").collect()] == [3 * i for i in range(50)]
+    assert sorted(r["position"] for r in b.collect()) == list(range(45))
+    met = evaluate.align_by_position(a, b).orderBy("position").collect()
+    assert [(r["n"], r["m"]) for r in met] == [(3 * i, 3 * i if i < 45 else None) for i in range(50)]
+
+
+def test_quarantine_beside_the_scored_rows(spark, sf_dir, tmp_path):
+    flows = fixtures.flows(spark, sf_dir)
+    flows.write.parquet(str(tmp_path / "in"))
+    out, aside = str(tmp_path / "out"), str(tmp_path / "aside")
+    for state in ("one", "two"):  # the second run knows nothing of the first
+        stream = scoring.read_flow_stream(spark, str(tmp_path / "in"), flows.schema, files_per_trigger=3)
+        scoring.score_and_quarantine(stream, lambda d: d.withColumn("label", F.lit("x")), out, aside, str(tmp_path / state)).awaitTermination()
+    valid, broken = quality.split_by_contract(flows)
+    assert spark.read.parquet(out).count() == valid.count() > 0
+    got = spark.read.parquet(aside).select("flow_id", "reasons")
+    assert got.exceptAll(broken.select("flow_id", "reasons")).count() == 0 and got.count() == broken.count() > 0
+
+
+def test_text_ports_are_judged(spark):
+    rows = [(1, "80", 5), (2, "99999", 5), (3, "http", 70000), (4, None, 5), (5, "-1", 5)]
+    df = spark.createDataFrame(rows, "flow_id bigint, src_port string, dst_port int")
+    found = {(r["rule"], r["column_name"]): r["violations"] for r in quality.flow_violations(df, ()).collect()}
+    assert found["invalid_port", "src_port"] == 3 and found["invalid_port", "dst_port"] == 1
+    reasons = {r["flow_id"]: r["reasons"] for r in df.select("flow_id", quality.contract_reasons(df).alias("reasons")).collect()}
+    assert [i for i in reasons if "range:src_port" in reasons[i]] == [2, 3, 5] and "range:dst_port" in reasons[3]
+
+
+def test_summary_is_taken_while_writing(spark, tmp_path):
+    """The rows are evaluated once, and the summary equals that of the written ones."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(100).selectExpr("id", "if(id % 4 = 0, 'normal', 'spoofing') label", "id / 100 confidence", "0 prediction")
+    df = df.mapInArrow(count, "id bigint, label string, confidence double, prediction int")
+    summary = tables.save_predictions(df, str(tmp_path / "p"))
+    assert calls.value == 100
+    written = spark.read.parquet(str(tmp_path / "p"))
+    assert summary.collect() == detect.detection_summary(written, "predicted_label").collect()
+
+
 def test_jobs(spark, sf_dir, tmp_path):
     data, model, runs = (str(tmp_path / n) for n in ("flows.parquet", "model", "runs"))
     fixtures.flows(spark, sf_dir).write.parquet(data)
