@@ -155,8 +155,13 @@ def encode_block(values: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(values)] = sizes - 1
     quads = codes.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    lanes = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), lanes[np.arange(4) < sizes[:, None]].tobytes()
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    data = np.empty(int(sizes.sum(dtype=np.int64)), np.uint8)
+    data[starts] = values & np.uint32(255)
+    for lane in range(1, int(sizes.max(initial=1))):
+        some = np.flatnonzero(sizes > lane)
+        data[starts[some] + lane] = values[some] >> np.uint32(8 * lane) & np.uint32(255)
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 #: Lengths of the four values of each control byte.
@@ -165,11 +170,13 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 
 def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` integers of a block: lengths from the table, then each byte lane gathered where it is present."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64)
-    starts = np.cumsum(lengths) - lengths
+    if not n:
+        return np.zeros(0, np.uint32)
+    lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
     raw = np.frombuffer(data, np.uint8)
-    out = np.zeros(n, np.uint32)
-    for lane in range(int(lengths.max()) if n else 0):
+    out = raw[starts].astype(np.uint32)
+    for lane in range(1, int(lengths.max())):
         some = np.flatnonzero(lengths > lane)
         out[some] |= raw[starts[some] + lane].astype(np.uint32) << np.uint32(8 * lane)
     return out
