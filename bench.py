@@ -21,7 +21,7 @@ HEADLINE = (
     "flow_features_by_class flow_validation preprocess_flows raw_adapter fix_data_issues describe_numeric "
     "categorical_summary label_encode undersample balance_to_target split_80_20 split_70_15_15 "
     "two_stage_detect detection_summary accuracy_metrics classification_report confusion_matrix smote "
-    "stream_preprocess train_two_stage"
+    "stream_preprocess train_two_stage class_neighbours tomek_links"
 ).split()
 
 

@@ -12,6 +12,7 @@ MODULES = (
     "detection_queries",
     "oversampling_queries",
     "model_queries",
+    "invariant_queries",
 )
 
 

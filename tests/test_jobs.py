@@ -366,7 +366,7 @@ def test_single_flow(spark, tmp_path):
     )
     detector = training.train_detector(rows, "flow_id", settings=QUICK).detector
     low = prediction.predict_one(spark, detector, {"src_ip": "10.0.0.1", "protocol": "TCP", "flow_duration": 5.0})
-    high = prediction.predict_one(spark, detector, {"src_ip": "10.0.0.1", "protocol": "TCP", "flow_duration": 190.0})
+    high = prediction.predict_one(spark, detector, {"src_ip": "10.0.0.1", "protocol": "TCP", "flow_duration": 190})
     assert (low["label"], high["label"]) == ("normal", "spoofing")
     assert sum(high["probabilities"]) == pytest.approx(1.0)
 
