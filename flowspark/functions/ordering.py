@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import work_path
+
 BUCKET_DIGITS = 4
 DRAW_DIGITS = 15
 MAX_STRATA = 10_000
@@ -70,17 +72,24 @@ def bucket_starts(ordered: DataFrame) -> DataFrame:
 
 
 def with_rank(
-    df: DataFrame, stratum: list[str], key: str, seed: int, digits: int = BUCKET_DIGITS, with_repeats: bool = False
+    df: DataFrame,
+    stratum: list[str],
+    key: str,
+    seed: int,
+    digits: int = BUCKET_DIGITS,
+    with_repeats: bool = False,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1-based, within the stratum) and ``stratum_rows``.
 
-    ``with_repeats`` adds ``repeated``: whether the next row of the stratum has the same key.
+    ``with_repeats`` adds ``repeated``: whether the next row of the stratum has the same key. ``starts`` are the
+    ``bucket_starts`` of these rows, if they are known already.
 
     ``key`` must identify a row. The window and the join share one partitioning by
     (stratum, bucket), so a stratum with most of the rows is spread over all tasks.
     """
     ordered = with_order(df, stratum, key, seed, digits)
-    starts = bucket_starts(ordered).drop("_rows")
+    starts = (bucket_starts(ordered) if starts is None else starts).drop("_rows")
     inside = Window.partitionBy("_stratum", "_bucket").orderBy("_digest", key)
     repeated = F.coalesce(F.lead(key).over(inside) == F.col(key), F.lit(False))
     ranked = ordered.withColumn("_inside", F.row_number().over(inside)).withColumn("_repeated", repeated)
@@ -93,6 +102,13 @@ def with_rank(
     )
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: unlike a checkpoint, writing it evaluates it once."""
+    path = work_path(df.sparkSession, "order")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_part(
     df: DataFrame,
     stratum: list[str],
@@ -111,10 +127,11 @@ def with_part(
     Up to ``max_strata`` strata, a histogram finds the bucket that each cut goes
     through and a second narrow pass the row at the cut in that bucket; the result
     then compares every row with its stratum's cut rows, without a shuffle. Beyond
-    it every row is ranked by ``with_rank``.
+    it every row is ranked by ``with_rank``. Strata, keys and digests are stored once, so ``df`` is evaluated for them and
+    for the result, not once per pass.
     """
-    slim = with_order(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*stratum, key])]), stratum, key, seed, digits)
-    starts = bucket_starts(slim)
+    slim = stored(with_order(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*stratum, key])]), stratum, key, seed, digits))
+    starts = counted = bucket_starts(slim)
     if stratum:
         starts = starts.select("*", *[F.col(f"_stratum.`{c}`").alias(c) for c in stratum])
     total, end = F.col("_total"), F.col("_start") + F.col("_rows")
@@ -131,7 +148,7 @@ def with_part(
     )
     found = per_stratum.limit(max_strata + 1).collect()
     if len(found) > max_strata:
-        ranked = with_rank(df, stratum, key, seed, digits, with_repeats=True)
+        ranked = with_rank(df, stratum, key, seed, digits, True, counted)
         passed = [
             F.when(
                 (F.col("rank") == cut(F.col("stratum_rows"))) & F.col("repeated"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark import schema as S
+from flowspark.functions import ordering
 from flowspark.operators import profile, sampling
 from flowspark.operators.oversampling import rebalance
 
@@ -156,3 +157,20 @@ def test_summaries(spark):
     assert profile.data_summary(df)["target"].collect() == [("label", "x", 1)]
     with pytest.raises(ValueError):
         profile.target_distribution(df.select("v"))
+
+
+@pytest.mark.parametrize("most_strata", [10_000, 0])
+def test_input_is_evaluated_twice_at_most(spark, most_strata):
+    """Once for the slim rows that the cuts are found in, once for the result."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(500).selectExpr("id", "concat('c', id % 3) as c").mapInArrow(count, "id bigint, c string")
+    parted = ordering.with_part(df, ["c"], "id", 7, [lambda n: F.floor(n / 2)], max_strata=most_strata)
+    sizes = {tuple(r)[:2]: r[2] for r in parted.groupBy("c", "part").agg(F.count("*")).collect()}
+    assert sizes == {("c0", 0): 83, ("c0", 1): 84, ("c1", 0): 83, ("c1", 1): 84, ("c2", 0): 83, ("c2", 1): 83}
+    assert rows.value <= 1000
