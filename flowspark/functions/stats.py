@@ -1,16 +1,15 @@
 """Statistics that stay exact and bounded in memory at any table size.
 
-``percentile`` and ``mode`` keep every distinct value of a column in one task, so
-they are used only behind a check of the number of rows. Beyond it, order
-statistics are searched with approximate pivots and exact counts, and modes come
-from a value-count table.
+``percentile`` keeps every distinct value of a column in one task, so it is used only behind a check of the number of
+rows. Beyond it, order statistics are searched with pivots from mergeable sketches and exact counts. Modes come from a
+table of all values' counts, or beyond a size from exact counts of the values that summaries name.
 """
 
 from __future__ import annotations
 
 import math
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,13 @@ from .scalars import nan_to_null
 
 ONE_AGGREGATE_CELLS = 10_000_000
 LEAF_ROWS = 20_000
-PIVOT_ACCURACY = 10_000
+#: Items of a quantile sketch (about 200 KB), and the share of rows that its ranks are trusted to: 1.5 times its error.
+SKETCH_ITEMS, SKETCH_MARGIN = 8192, 0.001
+#: Values that a summary of frequent ones tracks, the share of rows that a value it leaves out may have (twice its error),
+#: and the candidates that are counted.
+TRACKED, TRACKED_ERROR, CANDIDATES = 3072, 2 * 3.5 / 4096, 16
+#: Rows times columns up to which all values are counted at once.
+COUNT_ALL_CELLS = 10_000_000
 
 
 @contextmanager
@@ -55,7 +60,7 @@ def interpolate(low, high, fraction: float):
 
 @dataclass(frozen=True)
 class _Interval:
-    """An open value range of a column that holds the wanted ranks."""
+    """An open value range of a column that holds the wanted ranks, with a sketch of its values once there is one."""
 
     column: str
     low: float | None
@@ -63,15 +68,10 @@ class _Interval:
     offset: int
     rows: int
     ranks: tuple[int, ...]
+    sketch: bytes | None = None
 
     def value(self) -> Column:
-        c = F.col(f"`{self.column}`")
-        inside = c.isNotNull()
-        if self.low is not None:
-            inside = inside & (c > F.lit(self.low))
-        if self.high is not None:
-            inside = inside & (c < F.lit(self.high))
-        return F.when(inside, c)
+        return _inside(F.col(f"`{self.column}`"), self.low, self.high)
 
     def leaf_values(self) -> Column:
         """Values at the ranks, from the sorted rows of a short range."""
@@ -79,82 +79,99 @@ class _Interval:
         return F.array(*[F.element_at(ordered, r - self.offset + 1) for r in self.ranks])
 
     def pivot_shares(self) -> list[float]:
-        margin = 2 / PIVOT_ACCURACY
-        shares = set()
-        for rank in self.ranks:
-            share = (rank - self.offset) / self.rows
-            shares |= {max(0.0, share - margin), min(1.0, share + margin)}
-        return sorted(shares)
-
-    def region(self, pivots: list[float]) -> Column:
-        """Number of the region of a value: below, on or between the sorted pivots."""
+        """The ends of stretches that hold the ranks as far as a sketch can be trusted; stretches that meet are one."""
+        stretches: list[list[float]] = []
+        for share in ((r - self.offset) / self.rows for r in self.ranks):
+            low, high = max(0.0, share - SKETCH_MARGIN), min(1.0, share + SKETCH_MARGIN)
+            if stretches and low <= stretches[-1][1]:
+                stretches[-1][1] = high
+            else:
+                stretches.append([low, high])
+        return [end for stretch in stretches for end in stretch]
+
+    def gaps(self, pivots: list[float]) -> list[tuple[float | None, float | None]]:
+        ends = [self.low, *pivots, self.high]
+        return list(zip(ends, ends[1:]))
+
+    def counters(self, pivots: list[float]) -> list[Column]:
         v = self.value()
-        out = F.when(v < pivots[0], 0).when(v == pivots[0], 1)
-        for j, pivot in enumerate(pivots[1:], 1):
-            out = out.when(v < pivot, 2 * j).when(v == pivot, 2 * j + 1)
-        return out.when(v.isNotNull(), 2 * len(pivots))
-
-    def split(self, pivots: list[float], counts: list[int], found: dict) -> list["_Interval"]:
-        """Ranges between the pivots that still hold ranks; ranks on a pivot are done.
-
-        ``counts`` alternates rows below a pivot (after the last) and rows on it.
-        """
-        bounds = [self.low]
-        out, start = [], self.offset
-        for i, n in enumerate(counts):
-            ranks = tuple(r for r in self.ranks if start <= r < start + n)
-            on_pivot, j = i % 2 == 1, i // 2
-            if on_pivot:
-                found.update({(self.column, r): pivots[j] for r in ranks})
-                bounds.append(pivots[j])
-            elif ranks:
-                high = pivots[j] if j < len(pivots) else self.high
-                out.append(_Interval(self.column, bounds[-1], high, start, n, ranks))
-            start += n
+        return [c for p in pivots for c in (F.count_if(v < p), F.count_if(v == p))]
+
+    def split(self, pivots: list[float], counted: list[int], sketches: list, found: dict) -> list["_Interval"]:
+        """The gaps between the pivots that hold ranks, with their sketches; ranks on a pivot are done."""
+        out, start = [], 0
+        below, on = counted[::2] + [self.rows], counted[1::2] + [0]
+        for i, (low, high) in enumerate(self.gaps(pivots)):
+            n = below[i] - start
+            ranks = tuple(r for r in self.ranks if start <= r - self.offset < below[i])
+            if ranks:
+                out.append(_Interval(self.column, low, high, self.offset + start, n, ranks, sketches[i]))
+            if on[i]:
+                here = (r for r in self.ranks if below[i] <= r - self.offset < below[i] + on[i])
+                found.update({(self.column, r): pivots[i] for r in here})
+            start = below[i] + on[i]
         return out
 
 
+def _inside(v: Column, low: float | None, high: float | None) -> Column:
+    inside = v.isNotNull()
+    if low is not None:
+        inside = inside & (v > F.lit(low))
+    if high is not None:
+        inside = inside & (v < F.lit(high))
+    return F.when(inside, v)
+
+
+def _sketch(v: Column) -> Column:
+    return F.kll_sketch_agg_double(v, F.lit(SKETCH_ITEMS))
+
+
+def _pivots(df: DataFrame, wide: list[_Interval]) -> list[list[float]]:
+    """Values of the table near the ranks of each range, read off its sketch."""
+    names = [f"s{i}" for i in range(len(wide))]
+    states = df.sparkSession.createDataFrame([tuple(bytearray(s.sketch) for s in wide)], ", ".join(f"{n} binary" for n in names))
+    shares = [F.array(*map(F.lit, s.pivot_shares())) for s in wide]
+    row = states.select(*[F.kll_sketch_get_quantile_double(n, q).alias(n) for n, q in zip(names, shares)]).first()
+    return [sorted(set(values)) for values in row]
+
+
 def order_statistics(
-    df: DataFrame, ranks: dict[str, set[int]], counts: dict[str, int], leaf_rows: int = LEAF_ROWS
+    df: DataFrame,
+    ranks: dict[str, set[int]],
+    counts: dict[str, int],
+    leaf_rows: int = LEAF_ROWS,
+    sketches: dict[str, bytes] | None = None,
 ) -> dict[tuple[str, int], float]:
-    """Values at 0-based ``ranks`` of the non-missing values of each column.
+    """Values at 0-based ``ranks`` of the non-missing values of each double column.
 
-    Each round narrows every range about ``PIVOT_ACCURACY / 4`` times with two
-    aggregates without a shuffle of rows, so a trillion rows need three rounds.
+    Each pass is one aggregate for all columns, without a shuffle or an unpivot of rows: it counts the values below and
+    on the pivots that the sketches name, sketches the gaps between the pivots for the next pass, and sorts ranges of at
+    most ``leaf_rows``. A pass narrows a range about 500 times, so beside the one that ``sketches`` come from ten million
+    rows need two passes and a trillion needs four. Sketches only name pivots; what they get wrong costs a pass.
     """
     found: dict[tuple[str, int], float] = {}
+    given = sketches or {}
     todo = [
-        _Interval(c, None, None, 0, counts[c], tuple(sorted(r))) for c, r in ranks.items() if r and counts[c]
+        _Interval(c, None, None, 0, counts[c], tuple(sorted(r)), given.get(c)) for c, r in ranks.items() if r and counts[c]
     ]
     while todo:
         leaves = [s for s in todo if s.rows <= leaf_rows]
-        wide = [s for s in todo if s.rows > leaf_rows]
-        todo = []
-        if leaves:
-            row = df.agg(*[s.leaf_values().alias(f"s{i}") for i, s in enumerate(leaves)]).first()
-            for s, values in zip(leaves, row):
-                found.update({(s.column, r): v for r, v in zip(s.ranks, values)})
-        if wide:
-            row = df.agg(
-                *[
-                    F.percentile_approx(s.value(), s.pivot_shares(), PIVOT_ACCURACY).alias(f"s{i}")
-                    for i, s in enumerate(wide)
-                ]
-            ).first()
-            pivots = [sorted(set(values)) for values in row]
-            regions = {f"s{i}": s.region(cuts) for i, (s, cuts) in enumerate(zip(wide, pivots))}
-            # one narrow row per search and region, however many rows there are
-            tally = (
-                df.select(*[r.alias(name) for name, r in regions.items()])
-                .unpivot([], list(regions), "search", "region")
-                .filter(F.col("region").isNotNull())
-                .groupBy("search", "region")
-                .agg(F.count("*").alias("n"))
-            )
-            counted = {(r["search"], r["region"]): r["n"] for r in tally.collect()}
-            for i, (s, cuts) in enumerate(zip(wide, pivots)):
-                sizes = [counted.get((f"s{i}", r), 0) for r in range(2 * len(cuts) + 1)]
-                todo += s.split(cuts, sizes, found)
+        wide = [s for s in todo if s.rows > leaf_rows and s.sketch is not None]
+        bare = [s for s in todo if s.rows > leaf_rows and s.sketch is None]
+        pivots = _pivots(df, wide) if wide else []
+        measures = [s.leaf_values() for s in leaves] + [_sketch(s.value()) for s in bare]
+        for s, cuts in zip(wide, pivots):
+            v = F.col(f"`{s.column}`")
+            # the outer gaps rarely hold a rank; where one does, it is sketched in a pass of its own
+            measures += s.counters(cuts) + [_sketch(_inside(v, low, high)) for low, high in s.gaps(cuts)[1:-1]]
+        row = iter(df.agg(*[m.alias(f"m{i}") for i, m in enumerate(measures)]).first())
+        for s in leaves:
+            found.update({(s.column, r): v for r, v in zip(s.ranks, next(row))})
+        todo = [replace(s, sketch=next(row)) for s in bare]
+        for s, cuts in zip(wide, pivots):
+            counted = [next(row) for _ in range(2 * len(cuts))]
+            inner = [next(row) for _ in cuts[1:]]
+            todo += s.split(cuts, counted, [None, *inner, None], found)
     return found
 
 
@@ -168,24 +185,15 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation; missing values are skipped.
 
-    Small tables take one ``percentile`` aggregate, larger ones the pivot search.
+    Small tables take one ``percentile`` aggregate, larger ones a pass that counts and sketches, then the pivot search.
     ``approximate`` is an accuracy for those who prefer a single pass with existing
     values within ``rows / accuracy`` ranks of the exact ones.
     """
     wanted = {c: list(p) for c, p in wanted.items() if p}
     if not wanted:
         return {}
-    # decimals as doubles on every path, as percentile takes them
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    values = clean_nan(
-        df.select(
-            *[
-                F.col(f"`{c}`").cast("double").alias(c) if isinstance(kinds[c], T.DecimalType) else F.col(f"`{c}`")
-                for c in wanted
-            ]
-        ),
-        wanted,
-    )
+    # doubles on every path, as percentile takes them
+    values = clean_nan(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in wanted]), wanted)
     if approximate:
         row = values.agg(
             *[
@@ -200,14 +208,14 @@ def quantiles(
             *[F.percentile(F.col(f"`{c}`"), p).alias(f"q{i}") for i, (c, p) in enumerate(wanted.items())]
         ).first()
         return {c: list(q) if q is not None else [None] * len(wanted[c]) for c, q in zip(wanted, row)}
-    counts = dict(
-        zip(wanted, values.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(wanted)]).first())
-    )
+    seen = [(F.count(v).alias(f"n{i}"), _sketch(v).alias(f"s{i}")) for i, v in enumerate(F.col(f"`{c}`") for c in wanted)]
+    row = values.agg(*[m for pair in seen for m in pair]).first()
+    counts, sketches = dict(zip(wanted, row[::2])), dict(zip(wanted, row[1::2]))
     ranks: dict[str, set[int]] = {}
     for c, shares in wanted.items():
         positions = [p * (counts[c] - 1) for p in shares] if counts[c] else []
         ranks[c] = {r for x in positions for r in (math.floor(x), math.ceil(x))}
-    found = order_statistics(values, ranks, counts, leaf_rows)
+    found = order_statistics(values, ranks, counts, leaf_rows, sketches)
     out = {}
     for c, shares in wanted.items():
         if not counts[c]:
@@ -244,24 +252,38 @@ def value_counts(df: DataFrame, columns) -> DataFrame:
     )
 
 
-def modes(df: DataFrame, columns) -> dict[str, object]:
-    """Most frequent value per column, the smallest on a tie, None if all missing."""
+def modes(
+    df: DataFrame, columns, rows: int | None = None, count_all_cells: int = COUNT_ALL_CELLS
+) -> dict[str, object]:
+    """Most frequent value per column, the smallest on a tie, None if all missing.
+
+    All values are counted while rows x columns stay below a limit. Beyond it summaries of the frequent values, kept per
+    task and merged, name candidates, and only these are counted, so that a column of unique values is never shuffled.
+    Where the summary's error leaves the mode open, the column's values are counted after all: the result is the same.
+    """
     columns = list(columns)
+    if not columns:
+        return {}
     types = {f.name: f.dataType for f in df.schema.fields}
-    kinds: dict[str, list[str]] = {}
-    for c in columns:
-        dtype = types[c]
+
+    def kind(dtype) -> str:
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            kinds.setdefault("double", []).append(c)
-        elif isinstance(dtype, T.IntegralType):
-            kinds.setdefault("bigint", []).append(c)
-        else:
-            kinds.setdefault(dtype.simpleString(), []).append(c)
+            return "double"
+        return "bigint" if isinstance(dtype, T.IntegralType) else dtype.simpleString()
+
+    kinds = {c: kind(types[c]) for c in columns}
+    typed = clean_nan(df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()]), columns)
     out: dict[str, object] = dict.fromkeys(columns)
-    for kind, names in kinds.items():
-        typed = clean_nan(df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c in names]), names)
-        long = typed.unpivot([], names, "column_name", "value").filter(F.col("value").isNotNull())
-        counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    rows = typed.count() if rows is None else rows
+    left = columns
+    if rows * len(columns) > count_all_cells:
+        settled = _frequent_modes(typed, columns)
+        out.update(settled)
+        left = [c for c in columns if c not in settled]
+    for k in sorted({kinds[c] for c in left}):
+        names = [c for c in left if kinds[c] == k]
+        long = typed.select(*[F.col(f"`{c}`") for c in names]).unpivot([], names, "column_name", "value")
+        counts = long.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
         best = counts.groupBy("column_name").agg(
             F.min_by("value", F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("value")
         )
@@ -269,6 +291,39 @@ def modes(df: DataFrame, columns) -> dict[str, object]:
     return out
 
 
+def _frequent_modes(typed: DataFrame, columns: list[str]) -> dict[str, object]:
+    """The modes that summaries of frequent values settle, in two passes without a shuffle of values.
+
+    A summary's counts are upper bounds. A value outside the candidates occurs at most as often as the least candidate's
+    bound, or, if the summary left it out, in twice its error; a candidate seen more often than both is the mode.
+    """
+    tracked = []
+    for i, c in enumerate(columns):
+        name = c.replace("`", "``")
+        tracked += [F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.expr(f"approx_top_k(`{name}`, {CANDIDATES}, {TRACKED})").alias(f"t{i}")]
+    row = typed.agg(F.count("*").alias("rows"), *tracked).first()
+    total, settled = row["rows"], {}
+    listed = {c: [r for r in row[f"t{i}"] if r["item"] is not None] for i, c in enumerate(columns) if row[f"n{i}"]}
+    settled.update({c: None for i, c in enumerate(columns) if not row[f"n{i}"]})
+    asked = [(c, r["item"]) for c, some in listed.items() for r in some]
+    if not asked:
+        return settled
+    exact = typed.agg(*[F.count_if(F.col(f"`{c}`") == F.lit(v)).alias(f"n{i}") for i, (c, v) in enumerate(asked)]).first()
+    counted: dict[str, list] = {}
+    for (c, v), n in zip(asked, exact):
+        counted.setdefault(c, []).append((-n, v))
+    for i, c in enumerate(columns):
+        if c not in counted:
+            continue
+        whole = len(row[f"t{i}"]) < CANDIDATES
+        others = max(TRACKED_ERROR * total, 0 if whole else min(r["count"] for r in row[f"t{i}"]))
+        # ties go to the smaller value, so a mode must lie above what others may have
+        minus, value = min(counted[c])
+        if -minus > others:
+            settled[c] = value
+    return settled
+
+
 def means(df: DataFrame, columns) -> dict[str, float | None]:
     columns = list(columns)
     if not columns:

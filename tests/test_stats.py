@@ -60,6 +60,50 @@ def test_modes(spark):
     assert stats.modes(df, ["s", "n", "d", "empty"]) == {"s": "a", "n": 1, "d": 1.5, "empty": None}
 
 
+def test_quantiles_stay_exact_beyond_sketches(spark, monkeypatch):
+    """Many rows against small sketches: several passes, pivots that miss, integers, floats and the same bits."""
+    monkeypatch.setattr(stats, "SKETCH_ITEMS", 16)
+    df = spark.range(60_000).select(
+        (F.xxhash64("id") % 1_000_000_007).alias("spread"),
+        F.when(F.col("id") % 3 > 0, F.lit(5)).otherwise(F.col("id")).cast("int").alias("hot"),
+        (F.sqrt(F.col("id")) / 7).cast("float").alias("low"),
+        F.when(F.col("id") % 11 == 0, F.lit(float("inf"))).otherwise(-F.col("id") / 3).alias("open"),
+    )
+    shares = [0.0, 0.25, 0.5, 0.75, 0.999]
+    wanted = {c: shares for c in df.columns}
+    assert stats.quantiles(df, wanted, one_aggregate_cells=0, leaf_rows=50) == stats.quantiles(df, wanted)
+
+
+def test_order_statistics_take_few_passes(spark, monkeypatch):
+    passes = []
+    first = stats._pivots
+    monkeypatch.setattr(stats, "_pivots", lambda df, wide: passes.append(len(wide)) or first(df, wide))
+    df = spark.range(2_000_000).select(F.xxhash64("id").cast("double").alias("x"))
+    stats.quartiles(df, ["x"], one_aggregate_cells=0)
+    assert passes == [1]  # then one pass over short ranges
+
+
+@pytest.mark.parametrize("cells", [0, 10**9])
+def test_modes_of_frequent_and_unique_values(spark, cells):
+    df = spark.range(20_000).select(
+        F.concat(F.lit("u"), (F.lit(99_999) - F.col("id")).cast("string")).alias("unique"),
+        F.when(F.col("id") % 4 == 0, "b").when(F.col("id") % 4 == 1, "a").alias("tie"),
+        F.when(F.col("id") % 100 == 3, 7).otherwise(F.col("id")).cast("int").alias("rare"),
+        F.when(F.col("id") % 3 == 0, float("nan")).when(F.col("id") % 3 == 1, 2.5).otherwise(F.col("id") / 3).alias("d`x"),
+        F.lit(None).cast("string").alias("empty"),
+    ).withColumnRenamed("d`x", "dx")
+    got = stats.modes(df, df.columns, count_all_cells=cells)
+    assert got == {"unique": "u80000", "tie": "a", "rare": 7, "dx": 2.5, "empty": None}
+
+
+def test_frequent_values_settle_modes_without_counting_all(spark):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 50 == 3, 7).otherwise(F.col("id")).alias("hot"), F.col("id").alias("unique")
+    )
+    assert stats._frequent_modes(df, ["hot", "unique"]) == {"hot": 7}  # a column without a frequent value stays open
+    assert stats._frequent_modes(df.limit(0), ["hot", "unique"]) == {"hot": None, "unique": None}
+
+
 def test_scratch_frees(spark):
     df = spark.range(10)
     with stats.scratch(df) as kept:
