@@ -149,6 +149,23 @@ def test_surrogates_differ(spark, monkeypatch):
     assert len(set(new)) == len(names) and not set(new) & set(names)
 
 
+def test_licences_beside_other_words(spark):
+    """Whole licences, notices within long lines and headers, and texts that only speak of licences."""
+    bsd, isc, mit = (f"Copyright (c) 2020, A Person\nAll rights reserved.\n\n{licences.WHOLE[n]}\n" for n in ("BSD-3-Clause", "ISC", "MIT"))
+    texts = {
+        "a/LICENSE": (bsd, "BSD-3-Clause", "own"), "b/COPYING": (isc, "ISC", "own"), "c/LICENSE.txt": (mit, "MIT", "own"),
+        "a/x/y.py": ("print(1)", "BSD-3-Clause", "inherited"),
+        "d/one": ("one two three four five six seven eight Released under the MIT License.", "MIT", "own"),
+        "d/two": ("All sorts of words stand here. Released under the ISC License. " + "More words follow it here, unlike any other " * 9, "ISC", "own"),
+        "d/three": ("x = 1\n" * 500 + "# SPDX-License-Identifier: GPL-3.0\n# copyright somebody\nanother license line here", "GPL-3.0", "own"),
+        "d/four": ("To drive a car you need a license from the office in the town where you live", "none", "none"),
+        "d/five": ("", "none", "none"), "d/six": (None, "none", "none"),
+    }
+    rows = [(i, path, t[0]) for i, (path, t) in enumerate(texts.items())]
+    scan = licences.licence_scan(spark.createDataFrame(rows, "file_id int, path string, text string"), licences.template_table(spark))
+    assert {r["path"]: (r["licence"], r["source"]) for r in scan.collect()} == {p: t[1:] for p, t in texts.items()}
+
+
 def test_licences(spark, sf_dir):
     assert differences(licences.op10_licence_inheritance(spark, sf_dir), duck(sf_dir).execute(licences._sql())) == []
     mit = "Released under the MIT License."
