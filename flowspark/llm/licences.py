@@ -104,13 +104,13 @@ def template_weights(templates: DataFrame) -> DataFrame:
 
 
 def best_match(notice: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
-    """(notice, licence, cosine): the nearest template of each distinct notice, ties to the first name.
+    """(notice, licence, cosine): the nearest template of each distinct notice (notice, body), ties to the first name.
 
     A term that no template has gets the idf of df = 0 and counts in the notice's length.
     """
     weights = F.broadcast(template_weights(templates))  # templates are a short fixed list
     unseen = F.lit(math.log(1.0 + templates.count()) + 1)
-    counts = term_counts(notice, "notice", "notice")
+    counts = term_counts(notice, "notice", "body")
     known = weights.select("term", "idf").distinct()
     scaled = counts.join(F.broadcast(known), "term", "left").withColumn("raw", F.col("tf") * F.coalesce("idf", unseen))
     norm = scaled.groupBy("notice").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
@@ -164,10 +164,12 @@ def licence_scan(
         F.monotonically_increasing_id().alias("rid"),
     )
     # texts are read once, and only what is compared is kept of them
-    base = written(base, "licence-files")
-    notice = base.select("rid", F.explode("candidates").alias("notice"))
-    counted = written(notice.groupBy("notice").agg(F.count("*").alias("n")), "licence-notices")
-    matched = written(best_match(counted.select("notice"), templates).join(counted, "notice"), "licence-matches")
+    base = written(base, "licence-files", "zstd")
+    # beyond the first count candidates go by a digest of 128 bits, so that no text is shuffled with each of its terms
+    notice = base.select("rid", F.explode("candidates").alias("body")).withColumn("notice", F.unhex(F.md5("body")))
+    counted = written(notice.groupBy("notice").agg(F.first("body").alias("body"), F.count("*").alias("n")), "licence-notices", "zstd")
+    notice = notice.drop("body")
+    matched = written(best_match(counted.select("notice", "body"), templates).join(counted.drop("body"), "notice"), "licence-matches")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # notices that crowd a task number at most a thousand and join by broadcast
     frequent = F.col("n") * 1000 > total
