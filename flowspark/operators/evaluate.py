@@ -24,7 +24,8 @@ def align_predictions(truth: DataFrame, predictions: DataFrame, key: str) -> Dat
     kept with NULLs.
     """
     extra = [c for c in predictions.columns if c != key and c not in truth.columns]
-    return truth.join(predictions.select(key, *extra), key, "left")
+    # both grow with the data; a file of labels is a thousandth of its rows in memory, so its size would pass for a small table's
+    return truth.join(predictions.select(key, *extra).hint("merge"), key, "left")
 
 
 def align_by_position(truth: DataFrame, predictions: DataFrame, position: str = "position") -> DataFrame:

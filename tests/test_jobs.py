@@ -418,3 +418,15 @@ def test_long_codes_are_saved_with_the_model(spark, tmp_path):
     loaded = Detector.load(spark, path)
     assert loaded.steps[0].codes.long["app"].startswith(path)
     assert loaded.prepare(df).select("app").distinct().count() == 1500
+
+
+def test_predictions_that_are_small_on_disk_are_not_broadcast_to_meet_their_truth(spark, tmp_path):
+    from flowspark.operators import evaluate
+    from flowspark.sources import tables
+
+    spark.range(2000).select("id", F.lit("normal").alias("true_label")).write.parquet(f"{tmp_path}/truth")
+    spark.range(1990).select(F.lit("normal").alias("label")).write.parquet(f"{tmp_path}/found")
+    aligned = evaluate.align_by_position(*[tables.load_with_position(spark, f"{tmp_path}/{n}") for n in ("truth", "found")])
+    plan = aligned._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftOuter, BuildRight" not in plan
+    assert aligned.filter("label IS NULL").count() == 10
