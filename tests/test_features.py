@@ -129,3 +129,20 @@ def test_class_code(spark):
     assert [r[0] for r in df.select(models.class_code("t", ["a", "b"])).collect()] == [1.0, 0.0]
     with pytest.raises(ValueError):
         models.train_stage_two(df, ["x"], "t", learner="other")
+
+
+def test_wide_rows_are_compiled_in_a_session_made_elsewhere(spark):
+    from flowspark.session import METHOD_LIMIT
+
+    before = spark.conf.get(METHOD_LIMIT)
+    model = FlowPreprocessor("anomaly_type").fit(sample(spark))
+    try:
+        spark.conf.unset(METHOD_LIMIT)
+        spark.conf.set(METHOD_LIMIT, "65535")
+        model.transform(sample(spark))
+        assert spark.conf.get(METHOD_LIMIT) == "8000"
+        spark.conf.set(METHOD_LIMIT, "20000")
+        model.transform(sample(spark))
+        assert spark.conf.get(METHOD_LIMIT) == "20000"
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)
