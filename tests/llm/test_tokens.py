@@ -85,3 +85,26 @@ def test_token_files(spark, monkeypatch, block):
 def test_no_documents(spark):
     rows, _ = token_files.token_files(documents(spark, []), BYTES, work_path(spark, "token-none"))
     assert rows.count() == 0
+
+
+def test_pretokens_that_a_worker_keeps():
+    own = token_files.Pretokens(BYTES, 20)
+    words = [f"{c}{d}x" for c in "abcdefghij" for d in "klmnopqrst"]
+    for word in words:
+        own.encode(f"{word} {'z' * 5000}")
+    assert len(own.known) <= 22 and len(own.known.older) <= 22
+    assert max(map(len, [*own.known, *own.known.older])) <= token_files.CACHED_LENGTH
+    library = Tokenizer.from_file(BYTES)
+    for word in ["é", "\x00", "'ll", "中", " \n", "\xad"]:
+        assert np.frombuffer(own.ids_of(word), "<u2").tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_pretokens_within_the_larger_store_are_learnt_once():
+    learnt = []
+    known = token_files.Known(lambda w: learnt.append(w) or b"")
+    for _ in range(2):
+        for start in range(0, 700_000, 100_000):
+            known.turn()
+            for i in range(start, start + 100_000):
+                known[str(i)]
+    assert len(learnt) == 700_000
