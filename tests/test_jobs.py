@@ -215,6 +215,39 @@ def test_training(trained, spark):
         models.feature_importance(trained.detector.stage_two, spark, "cover")
 
 
+def test_training_evaluates_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(i):
+        seen.add(1)
+        return float(i % 9)
+
+    rows = spark.range(200).select(
+        F.col("id").alias("flow_id"),
+        noted(F.col("id")).alias("flow_duration"),
+        F.when(F.col("id") % 9 < 4, "normal").otherwise("spoofing").alias(S.TARGET),
+    )
+    found = training.train_detector(rows, "flow_id", settings=TreeSettings(trees=2, depth=2))
+    assert sum(found.rows.values()) == 200 and found.test["accuracy"] == 1.0
+    assert seen.value == 200
+
+
+def test_stages_share_prepared_vectors(spark):
+    df = spark.range(300).select(
+        (F.col("id") % 10).cast("double").alias("x"),
+        (F.col("id") % 3).cast("double").alias("w"),
+        F.when(F.col("id") % 10 < 3, S.NORMAL).when(F.col("id") % 10 < 7, "b").when(F.col("id") % 10 < 9, "c").alias(S.TARGET),
+    )
+    vectors = models.training_columns(df, ["x"], weight="w")
+    assert vectors.columns == [models.VECTOR, S.TARGET, "w"] and vectors.count() == 270
+    for train in (models.train_stage_one, models.train_stage_two):
+        one, two = (train(rows, ["x"], settings=QUICK, weight="w").model.stages[-1].toDebugString for rows in (df, vectors))
+        assert one.split("\n")[1:] == two.split("\n")[1:]
+    with pytest.raises(ValueError, match="missing"):
+        models.training_columns(vectors, ["x"], weight="absent")
+
+
 def test_saved_detector_scores_alike(trained, spark, sf_dir, tmp_path):
     path = str(tmp_path / "model")
     trained.detector.save(spark, path)
