@@ -266,6 +266,25 @@ def test_language_scores(spark):
     assert attention.language_scores(documents(spark, []), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_words_name_their_blocks(spark):
+    """Each word once, with its count and all its blocks; the documents' words come from these without a join."""
+    docs = [(i, f"all w{i % 5} W{i}", "en") for i in range(60)]
+    rows = attention.prepared(documents(spark, docs), "doc_id", "text", 4).repartition(3).cache()
+    words = attention.word_table(attention.word_pairs(rows), tokenizer_path("byte_bpe_50k.json"))
+    counts, blocks = Counter(), {}
+    for r in rows.collect():
+        for w in r["text"].lower().encode().split():
+            counts[w] += not r["held_out"]
+            blocks.setdefault(w, set()).add(r["block"])
+    got = words.collect()
+    assert {bytes(r["word"]): (r["n"], sorted(r["blocks"])) for r in got} == {w: (counts[w], sorted(b)) for w, b in blocks.items()}
+    assert len(got) == len(blocks) and len(blocks[b"all"]) == 4
+    found = attention.encoded(rows, words, 100, 10, 48)
+    assert {r["key"]: r["n_tokens"] for r in found.collect()} == {i: 4 for i in range(60)}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    rows.unpersist()
+
+
 def test_training_windows_cover_all_ids(spark):
     """Each id of each training document is the target of one window, after the slot before it."""
     ids = {k: np.append(np.arange(n) * 7 % 5000, attention.END).astype("<u2") for k, n in ((1, 0), (2, 47), (3, 48), (4, 60_000))}
