@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from __spark_entry__ import queries
+
 from flowspark.functions import ordering, stats
 from flowspark import fixtures, session
 from flowspark import schema as S
@@ -389,6 +391,35 @@ def test_boosted_probabilities(spark):
     assert one.model.stages[-1].getNumTrees < 20
 
 
+def test_boosted_classes_asks_for_all_rounds(spark, sf_dir, monkeypatch):
+    """The query trains at the library's settings; here they are noted and a single shallow round is trained."""
+    asked, train = [], models.train_stage_two
+
+    def quick(rows, features, **options):
+        asked.append(options.pop("settings", None) or TreeSettings())
+        return train(rows, features, settings=TreeSettings(trees=1, depth=1), **options)
+
+    monkeypatch.setattr(models, "train_stage_two", quick)
+    rows = queries()["boosted_classes"](spark, sf_dir)
+    assert rows.count() == fixtures.flows(spark, sf_dir).count()
+    assert asked == [TreeSettings()] and (asked[0].trees, asked[0].depth) == (100, 6)
+
+
+def test_learners_at_once(spark, monkeypatch):
+    """Models of the classes are the same whether they are fitted one by one or at the same time."""
+    rows = spark.range(400).select(
+        (F.col("id") % 20).cast("double").alias("x"), F.element_at(F.array(*map(F.lit, "abcd")), (F.col("id") % 4 + 1).cast("int")).alias(S.TARGET)
+    )
+    found = []
+    for most in (0, 10_000):
+        monkeypatch.setattr(models, "ROWS_AT_ONCE", most)
+        stage = models.train_stage_two(rows, ["x"], learner="boosted", settings=QUICK)
+        found.append([m.toDebugString.split("\n", 1)[1] for m in stage.tree_models()])
+    assert found[0] == found[1] and len(found[0]) == 4
+    with pytest.raises(ZeroDivisionError):
+        models.fit_at_once(spark, [lambda: 1, lambda: 1 // 0], 2)
+
+
 def test_single_flow(spark, tmp_path):
     rows = spark.range(200).select(
         F.lit("10.0.0.1").alias("src_ip"),
